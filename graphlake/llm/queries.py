@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.functions.ids import numeric_id
+from graphlake.llm.contamination import leaked_items, remove_leaks
 from graphlake.llm.format_copies import format_copies, record_counts
 from graphlake.llm.match_groups import match_groups
 from graphlake.storage import read_table
@@ -36,7 +37,18 @@ def p2_copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_counts(lines, format_copies(lines))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p2_found, p2_copy_counts)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with at least 14 consecutive words of a test item, and the item."""
+    return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the pages that are left when every page with a leak is removed."""
+    documents = read_table(spark, sf_dir, "documents")
+    return remove_leaks(documents, leaked_items(documents, read_table(spark, sf_dir, "eval_items"))).select("doc_id")
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p2_found, p2_copy_counts, p6_found, p6_clean)}
 
 _ID = "try_cast(regexp_extract({0}, '^\\s*([+-]?[0-9]+)\\s*$', 1) AS BIGINT)"
 
