@@ -9,6 +9,7 @@ from graphlake.functions.ids import numeric_id
 from graphlake.llm.contamination import leaked_items, remove_leaks
 from graphlake.llm.format_copies import format_copies, record_counts
 from graphlake.llm.match_groups import match_groups
+from graphlake.llm.spam import spam_pages, spam_scores
 from graphlake.storage import read_table
 
 SAME_RECORD = 2
@@ -48,7 +49,17 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(documents, leaked_items(documents, read_table(spark, sf_dir, "eval_items"))).select("doc_id")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p2_found, p2_copy_counts, p6_found, p6_clean)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of repeated keywords, links or product tags."""
+    return spam_pages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of spam and mean surprisal of every page."""
+    return spam_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p2_found, p2_copy_counts, p6_found, p6_clean, p8_found, p8_scores)}
 
 _ID = "try_cast(regexp_extract({0}, '^\\s*([+-]?[0-9]+)\\s*$', 1) AS BIGINT)"
 
