@@ -9,6 +9,7 @@ from graphlake.functions.ids import numeric_id
 from graphlake.llm.contamination import leaked_items, remove_leaks
 from graphlake.llm.format_copies import format_copies, record_counts
 from graphlake.llm.match_groups import match_groups
+from graphlake.llm.mixing import default_vocabulary, mix, mixture_shares, shuffled_shards, token_counts
 from graphlake.llm.spam import spam_pages, spam_scores
 from graphlake.storage import read_table
 
@@ -49,6 +50,21 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(documents, leaked_items(documents, read_table(spark, sf_dir, "eval_items"))).select("doc_id")
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(read_table(spark, sf_dir, "documents"), default_vocabulary(spark))
+    return mix(counts, read_table(spark, sf_dir, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn pages, shard by shard in their shuffled order."""
+    return shuffled_shards(_mixture(spark, sf_dir))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixture_shares(_mixture(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of repeated keywords, links or product tags."""
     return spam_pages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
@@ -59,7 +75,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p2_found, p2_copy_counts, p6_found, p6_clean, p8_found, p8_scores)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p2_found, p2_copy_counts, p6_found, p6_clean, p7_selection, p7_shares, p8_found, p8_scores)}
 
 _ID = "try_cast(regexp_extract({0}, '^\\s*([+-]?[0-9]+)\\s*$', 1) AS BIGINT)"
 
