@@ -148,6 +148,16 @@ class LeakFinder:
         self.a = automaton
         self.min = min_words
         self.reading = _Reading()
+        self.shared = self._shared()
+
+    def _shared(self) -> set[int]:
+        """Long states with a suffix, long enough to be a leak, that stands in further items."""
+        a, out = self.a, set()
+        for s in sorted(range(1, len(a.size)), key=lambda x: a.size[x]):
+            up = a.link[s]
+            if up > 0 and a.size[up] >= self.min and {i for i, _ in a.ends[up]} - {i for i, _ in a.ends[s]} or up in out:
+                out.add(s)
+        return out
 
     def _step(self, state: int, size: int, read: str) -> tuple[int, int]:
         """The match after one more word if it continues, else (0, 0)."""
@@ -194,7 +204,9 @@ class LeakFinder:
                 prev = (0, 0, 0)
                 if held:
                     held = [h for h in held if n_line - h[0] <= patience]
-                    for h in sorted(held, key=lambda h: -h[1][1]):
+                    # a match that goes on with the very word comes before one that goes on with a likeness
+                    exact = lambda h: ws[0] in self.a.nxt[h[1][0]]  # noqa: B023, E731
+                    for h in sorted(held, key=lambda h: (not exact(h), -h[1][1], -h[0])):
                         s, n = self._step(h[1][0], h[1][1], ws[0])
                         begun = h[1][2]
                         if n < 2:  # the last word of that line and the first of this one may be one word
@@ -203,8 +215,7 @@ class LeakFinder:
                         if n > 1:
                             state, size, start, k = s, n, begun, 1
                             toks.append(ws[0])
-                            held.remove(h)
-                            break
+                            break  # h stays open: this line may only look like its next one
                 for w in ws[k:]:
                     prev = (state, size, start)
                     s, n = self._step(state, size, w)
@@ -215,12 +226,21 @@ class LeakFinder:
                         start = len(toks) - n + 1
                     toks.append(w)
                     state, size = s, n
+                    if n >= self.min and s in self.shared:
+                        out.append((s, n, start))
                 if size or prev[1]:
                     held.append((n_line, (state, size, start), ws[-1], prev))
                     out.extend(m for m in ((state, size, start), prev) if m[1] >= least)
         for state, size, start in out:
-            for item, end in self.a.ends[state]:
-                yield item, size + self._leftward(self.a.items[item][1], end - size, toks, start - 1, breaks)
+            seen: set[tuple[int, int]] = set()
+            while state > 0 and size >= least:
+                for item, end in self.a.ends[state]:
+                    if (item, end) not in seen:
+                        seen.add((item, end))
+                        yield item, size + self._leftward(self.a.items[item][1], end - size, toks, start - 1, breaks)
+                # the same words, fewer of them, may stand in further items
+                state = self.a.link[state]
+                start, size = start + size - min(size, self.a.size[state]), min(size, self.a.size[state])
 
     def _leftward(self, item: list[str], at: int, toks: list[str], i: int, breaks: set[int]) -> int:
         """How many misread words before a match belong to it."""
