@@ -43,11 +43,10 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) ->
 def louvain(graph: PropertyGraph, max_iter: int = 8, max_iter_stage1: int = 16, max_iter_no_change: int = 4, weight: str | None = None, resolution: float = 1.0, dedupe: bool = False, seed: int = 1) -> DataFrame:
     """(vid, cid): a community for every end of an edge; cid is the smallest vertex of the community.
 
-    Stage one moves vertices: in each round half of them, by a hash of vertex
-    and round, take the neighbouring community with the greatest gain; ties stay
+    Stage one moves vertices: in each round half of them, by a hash, take the neighbouring community with the greatest gain; ties stay
     where they are or go by a hash. It ends after ``max_iter_stage1`` rounds, after
-    ``max_iter_no_change`` rounds without a move, or when modularity falls, in
-    which case that round is undone. Stage two contracts communities to
+    ``max_iter_no_change`` rounds without a gain, or when modularity falls after
+    two rounds, in which case these are undone. Stage two contracts communities to
     vertices. Both repeat up to ``max_iter`` times, or until nothing moves.
     The same seed gives the same communities. ``resolution=2`` weighs degrees
     as a norm that counts inner edges once does.
@@ -77,39 +76,34 @@ def _move(store: Rounds, edges: DataFrame, m2: float, max_rounds: int, max_still
     degree, _ = store.write(edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), "w"), F.struct(F.col("b").alias("v"), "w"))).alias("x")).groupBy("x.v").agg(F.sum("x.w").alias("k")))
     state, _ = store.write(degree.select("v", "k", F.col("v").alias("c")))
     quality = modularity(edges, state.select(F.col("v").alias("vid"), F.col("c").alias("cid")), resolution).first()[0]
-    still, ever = 0, False
+    still, ever, moves, best = 0, False, 0, state
     for r in range(max_rounds):
         totals = state.groupBy("c").agg(F.sum("k").alias("kc"))
-        to = arcs.join(state.select(F.col("v").alias("u"), "c"), "u").groupBy("v", "c").agg(F.sum("w").alias("wc"))
-        own = state.select("v", "k", F.col("c").alias("c0"))
-        cand = to.join(own, "v").join(totals, "c")
+        # weight from a vertex to each community it touches, its own with at least 0
+        to = arcs.join(state.select(F.col("v").alias("u"), "c"), "u").select("v", "c", "w").unionByName(state.select("v", "c", F.lit(0.0).alias("w"))).groupBy("v", "c").agg(F.sum("w").alias("wc"))
+        options = to.join(state.select("v", "k", F.col("c").alias("c0")), "v").join(totals, "c")
         # gain against standing alone: the vertex does not count in its own community
-        rest = F.col("kc") - F.when(F.col("c") == F.col("c0"), F.col("k")).otherwise(F.lit(0.0))
+        stays = F.col("c") == F.col("c0")
+        rest = F.col("kc") - F.when(stays, F.col("k")).otherwise(F.lit(0.0))
         gain = F.col("wc") - F.lit(resolution) * F.col("k") * rest / F.lit(m2)
-        stay = own.join(totals.withColumnRenamed("c", "c0"), "c0").select("v", F.col("c0").alias("c"), (-F.lit(resolution) * F.col("k") * (F.col("kc") - F.col("k")) / F.lit(m2)).alias("gain"), F.col("c0"))
-        options = cand.select("v", "c", gain.alias("gain"), "c0").unionByName(stay.join(to, ["v", "c"], "left_anti"))
         # the best option as the maximum of a struct: folded before the shuffle, no window
-        top = options.groupBy("v").agg(F.max_by("c", F.struct("gain", F.when(F.col("c") == F.col("c0"), 1).otherwise(0), F.xxhash64("c"))).alias("want"))
-        turn = F.pmod(F.xxhash64("v", F.lit(seed + r)), F.lit(2)) == 0
-        nxt = state.join(top, "v", "left").select("v", "k", F.when(turn & F.col("want").isNotNull(), F.col("want")).otherwise(F.col("c")).alias("c"), F.col("c").alias("before"))
+        top = options.groupBy("v").agg(F.max_by("c", F.struct(gain.alias("g"), stays.cast("int").alias("s"), F.xxhash64("c").alias("h"))).alias("want"), F.first("k").alias("k"), F.first("c0").alias("before"))
+        turn = F.pmod(F.xxhash64("v", F.lit(seed + r // 2)) + F.lit(r % 2), F.lit(2)) == 0
+        nxt = top.select("v", "k", F.when(turn, F.col("want")).otherwise(F.col("before")).alias("c"), "before")
         written, seen = store.write(nxt, moves=F.count_if(F.col("c") != F.col("before")))
         moved = written.select("v", "k", "c")
-        if not seen["moves"]:
-            still += 1
-            if still >= max_still:
-                break
-            continue
-        q = modularity(edges, moved.select(F.col("v").alias("vid"), F.col("c").alias("cid")), resolution).first()[0]
-        if q < quality:
-            still += 1  # this half of the vertices does harm; the other half gets its turn
-            if still >= max_still:
-                break
-            continue
-        still, ever, quality = (0 if q > quality + 1e-9 else still + 1), True, q
+        moves += seen["moves"]
         state = moved
+        if r % 2 == 0 and r + 1 < max_rounds:
+            continue  # both halves of the vertices have their turn before the result is judged
+        q = modularity(edges, state.select(F.col("v").alias("vid"), F.col("c").alias("cid")), resolution).first()[0] if moves else quality
+        if q < quality:
+            break
+        still = 0 if q > quality + 1e-9 else still + 2
+        best, quality, ever, moves = state, q, ever or moves > 0, 0
         if still >= max_still:
             break
-    return state.select("v", "c"), ever
+    return best.select("v", "c"), ever
 
 
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:

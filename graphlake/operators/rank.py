@@ -34,18 +34,22 @@ def pagerank(graph: PropertyGraph, beta: float = 0.15, delta_min: float | None =
         return ids.select("id", F.lit(0.0).alias("attr"))
     fed = weighted.select(F.col("dst_id").alias("id")).distinct().withColumn("fed", F.lit(True))
     nodes, _ = store.write(ids.join(fed, "id", "left").select("id", F.coalesce("fed", F.lit(False)).alias("fed")))
-    ranks = nodes.select("id", "fed", F.lit(1.0 / n).alias("r"))
-    done, written = 0, None
+    start = F.lit(1.0 / n)
+    ranks, written, done = nodes.select("id", start.alias("r")), None, 0
     while done < max_iter:
-        steps = min(STEPS_PER_ROUND, max_iter - done) if delta_min is None else 1
         new = ranks
-        for _ in range(steps):
+        # each step reads the ranks before it once, so steps can be chained; with a bound each is judged
+        for _ in range(min(STEPS_PER_ROUND, max_iter - done) if delta_min is None else 1):
             got = weighted.join(new.select(F.col("id").alias("src_id"), "r"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.sum(F.col("r") * F.col("part")).alias("s"))
-            new = new.join(got, "id", "left").select("id", "fed", F.when(F.col("fed"), (1 - beta) * F.col("s") + F.lit(beta / n)).otherwise(F.col("r")).alias("r"), F.col("r").alias("old"))
-        done += steps
-        out_rows, seen = store.write(new, moved=F.max(F.abs(F.col("r") - F.col("old"))))
+            new = nodes.join(got, "id", "left").select("id", F.when(F.col("fed"), (1 - beta) * F.col("s") + F.lit(beta / n)).otherwise(start).alias("r"))
+            done += 1
+        if delta_min is None:
+            rows, seen = store.write(new)
+        else:
+            old = ranks.select("id", F.col("r").alias("old"))
+            rows, seen = store.write(new.join(old, "id"), moved=F.max(F.abs(F.col("r") - F.col("old"))))
         store.drop(written)
-        written, ranks = out_rows, out_rows.select("id", "fed", "r")
+        written, ranks = rows, rows.select("id", "r")
         if delta_min is not None and seen["moved"] <= delta_min:
             break
     return ranks.select("id", F.col("r").alias("attr"))

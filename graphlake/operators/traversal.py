@@ -18,6 +18,8 @@ from graphlake.storage import Rounds
 
 #: Written frontiers that are read side by side before they are folded into one table.
 FOLD_EVERY = 12
+#: Levels of a search that are planned together before what they found is written.
+HOPS_PER_ROUND = 2
 
 
 class _Found:
@@ -55,6 +57,12 @@ def reachable(graph: PropertyGraph, sources: Any, max_hops: int | None = None) -
     return _levels(graph.links(), ids_frame(graph, sources), max_hops, "reach")
 
 
+def _expand(links: DataFrame, frontier: DataFrame, found: DataFrame, hop: int) -> DataFrame:
+    """(id, hop) of the vertices one edge away from the frontier that are not found."""
+    step = links.join(frontier.select(F.col("id").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
+    return step.join(found.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"))
+
+
 def _levels(links: DataFrame, sources: DataFrame, max_hops: int | None, name: str) -> DataFrame:
     store = Rounds(links.sparkSession, name)
     found = _Found(store)
@@ -62,12 +70,16 @@ def _levels(links: DataFrame, sources: DataFrame, max_hops: int | None, name: st
     found.add(frontier)
     hop = 0
     while seen["n"] and (max_hops is None or hop < max_hops):
-        hop += 1
-        step = links.join(frontier.select(F.col("id").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
-        fresh = step.join(found.all().select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"))
-        frontier, seen = store.write(fresh, n=F.count(F.lit(1)))
-        if seen["n"]:
-            found.add(frontier)
+        # levels are planned HOPS_PER_ROUND at a time: the exchanges of a level are reused by the next
+        known, near, out = found.all().select("id"), frontier, None
+        for _ in range(HOPS_PER_ROUND if max_hops is None else min(HOPS_PER_ROUND, max_hops - hop)):
+            hop += 1
+            near = _expand(links, near, known, hop)
+            out = near if out is None else out.unionByName(near)
+            known = known.unionByName(near.select("id"))
+        written, seen = store.write(out, n=F.count_if(F.col("hop") == hop))
+        found.add(written)
+        frontier = written.filter(F.col("hop") == hop)
     return found.all()
 
 

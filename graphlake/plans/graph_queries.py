@@ -515,10 +515,14 @@ def intersection_count(spark, d):
     return outs.join(ins, "id").select("id", triangles.intersection_count(F.col("o"), F.col("i")).alias("attr"))
 
 
-def _shortest_sql(typed: str, cols: str, k: int = 8) -> str:
+_FARTHEST = "SELECT id AS t, hop AS far FROM l ORDER BY hop DESC, id LIMIT 1"
+_QUIETEST = "SELECT t, hop AS far FROM (SELECT dst_id AS t FROM e GROUP BY 1 ORDER BY count(*), 1 LIMIT 1) JOIN l ON l.id = t"
+
+
+def _shortest_sql(typed: str, cols: str, goal: str, k: int = 8) -> str:
     return _with(_TRADE, f"g AS (SELECT DISTINCT src_id, dst_id, {'etype' if 'types' in cols else '1 AS etype'} FROM trade {typed})", f"e AS (SELECT * FROM trade {typed})", _HUB.replace("trade", "e"),
                  f"r(id, hop) AS (SELECT s, 0 FROM hub UNION SELECT g.dst_id, hop + 1 FROM r JOIN g ON g.src_id = r.id WHERE hop < {k})", "l AS (SELECT id, min(hop) AS hop FROM r GROUP BY 1)",
-                 "goal AS (SELECT id AS t, hop AS far FROM l ORDER BY hop DESC, id LIMIT 1)",
+                 f"goal AS ({goal})",
                  """w(path, types, tail, n) AS (SELECT [s], CAST([] AS VARCHAR[]), s, 0 FROM hub
   UNION ALL SELECT list_append(path, g.dst_id), list_append(types, CAST(g.etype AS VARCHAR)), g.dst_id, n + 1 FROM w JOIN g ON g.src_id = tail JOIN l ON l.id = g.dst_id AND l.hop = n + 1 WHERE n < (SELECT far FROM goal))""", recursive=True) + f"SELECT {cols} FROM w, goal WHERE tail = t"
 
@@ -528,25 +532,30 @@ def _far(g: PropertyGraph, source):
     return shortest.distances(g, source, 8).orderBy(F.desc("hop"), "id").first()["id"]
 
 
-@query(_shortest_sql("", "array_to_string(path, '-') AS path"))
+def _quietest(g: PropertyGraph):
+    """The vertex with fewest in-edges, ties by the smallest id."""
+    return g.edges.groupBy("dst_id").count().orderBy("count", "dst_id").first()["dst_id"]
+
+
+@query(_shortest_sql("", "array_to_string(path, '-') AS path", _QUIETEST))
 def shortest_paths(spark, d):
     g = trade(spark, d)
     s = hub(g)
-    return shortest.shortest_path(g, s, _far(g, s), 8).select(_ids_text("path").alias("path"))
+    return shortest.shortest_path(g, s, _quietest(g), 8).select(_ids_text("path").alias("path"))
 
 
-@query(_shortest_sql("WHERE etype = 'P'", "array_to_string(path, '-') AS path"))
+@query(_shortest_sql("WHERE etype = 'P'", "array_to_string(path, '-') AS path", _FARTHEST))
 def shortest_typed(spark, d):
     g = trade(spark, d).of_type("P")
     s = hub(g)
     return shortest.shortest_path(g, s, _far(g, s), 8).select(_ids_text("path").alias("path"))
 
 
-@query(_shortest_sql("", "array_to_string(path, '-') AS path, array_to_string(types, '-') AS types"))
+@query(_shortest_sql("", "array_to_string(path, '-') AS path, array_to_string(types, '-') AS types", _QUIETEST))
 def shortest_with_types(spark, d):
     g = trade(spark, d)
     s = hub(g)
-    return shortest.shortest_path(g, s, _far(g, s), 8, edge_type="etype").select(_ids_text("path").alias("path"), F.array_join("edges_type", "-").alias("types"))
+    return shortest.shortest_path(g, s, _quietest(g), 8, edge_type="etype").select(_ids_text("path").alias("path"), F.array_join("edges_type", "-").alias("types"))
 
 
 _WEIGHTED = """w(path, tail, total, n) AS (SELECT [s], s, CAST(0 AS BIGINT), 0 FROM hub
