@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,22 +12,19 @@ from graphlake.operators.graph import PropertyGraph
 from graphlake.operators.traversal import ids_frame
 from graphlake.storage import Rounds
 
-#: Walks found after which no further round starts; a round itself is never cut.
-MAX_DISCOVERED = 1_000_000
-
-
 def index_of(array: Column, element: Column) -> Column:
     """1-based place of an element, 0 if absent, null for null input."""
     return F.array_position(array, element)
 
 
-def walks_from(graph: PropertyGraph, sources: Any, max_loops: int, attr: str | None = None, max_discovered: int = MAX_DISCOVERED) -> DataFrame:
+def walks_from(graph: PropertyGraph, sources: Any, max_loops: int, attr: str | None = None, max_discovered: int | None = None) -> DataFrame:
     """(path[, attrs]): the walks from each source to a leaf, or of ``max_loops`` edges if cut there.
 
     There is no check for cycles; a source without out-edges gives the walk of
-    one vertex. ``attrs`` holds the attribute of each edge. If more than
-    ``max_discovered`` walks are growing or have grown, the next round does not
-    start and the walks end where they are.
+    one vertex. ``attrs`` holds the attribute of each edge. All walks are
+    returned unless a caller sets ``max_discovered``, 1,000,000 in the
+    reference: once so many walks, sources included, have grown, the next round
+    does not start, the walks end where they are and a warning is given.
     """
     spark = graph.edges.sparkSession
     store = Rounds(spark, "walks")
@@ -39,7 +37,10 @@ def walks_from(graph: PropertyGraph, sources: Any, max_loops: int, attr: str | N
     done: list[DataFrame] = []
     found, loop = seen["n"], 0
     keep = ["path", *(["attrs"] if attr else [])]
-    while seen["n"] and loop < max_loops and found < max_discovered:
+    while seen["n"] and loop < max_loops:
+        if max_discovered is not None and found >= max_discovered:
+            warnings.warn(f"{found} walks reach max_discovered={max_discovered}: {seen['n']} of them are cut after {loop} edges", stacklevel=2)
+            break
         loop += 1
         tails = links.withColumnRenamed("src_id", "tail")
         # one join a round: walks that find no edge are leaves and stay as they are

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphlake.operators import community, dag, paths, rank, shortest, traversal, triangles
 from graphlake.operators.components import weakly_connected_components
+from graphlake.operators.graph import PropertyGraph
 from graphlake.operators.lookup import lookup_edges, lookup_vertices
 from graphlake.operators.metapath import Step, meta_path_search, parse_sample_path, parse_sample_paths
 
@@ -59,6 +60,16 @@ def test_walks_stop_at_the_limit(graph):
     assert {len(r["path"]) for r in paths.walks_from(graph([(1, 1), (1, 1)]), [1], 50, max_discovered=10).collect()} == {4}
 
 
+def test_walks_have_no_bound_unless_asked_for(spark):
+    n = 1_000_001
+    e = spark.range(n).select(F.col("id").alias("src_id"), (F.col("id") % 10 - 10).alias("dst_id"))
+    g = PropertyGraph.from_edges(e)
+    sources = e.select(F.col("src_id").alias("id"))
+    assert paths.path_edge_rows(paths.walks_from(g, sources, 4)).count() == n
+    with pytest.warns(UserWarning, match="max_discovered"):
+        assert paths.path_edge_rows(paths.walks_from(g, sources, 4, max_discovered=1_000_000)).count() == 0
+
+
 def test_components(graph):
     g = graph([(1, 2), (2, 3), (10, 9), (7, 7)])
     assert rows(weakly_connected_components(g)) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 9), (10, 9)]
