@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from graphlake.llm.pages import columns
 
 MIN_WORDS = 14
+#: Letters of a word that a single misread letter leaves hardly recognisable: it counts as misread only where a match is open.
+SHORT = 2
 #: Words of all test items together that are built into one automaton.
 MAX_ITEM_WORDS = 5_000_000
 #: Lines that a match may wait for its next word: the adverts between two lines of an article.
@@ -80,8 +82,7 @@ class _Reading:
         if got is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            # words of one or two letters have too little left to recognise
-            got = len(word) > 2 and (_close(read, word) or _close(_plain(read), _plain(word)))
+            got = _close(read, word) or (_close(_plain(read), _plain(word)) if len(word) > SHORT else _plain(read) == _plain(word))
             self.known[key] = got
         return got
 
@@ -159,8 +160,8 @@ class LeakFinder:
                 out.add(s)
         return out
 
-    def _step(self, state: int, size: int, read: str) -> tuple[int, int]:
-        """The match after one more word if it continues, else (0, 0)."""
+    def _step(self, state: int, size: int, read: str, short: bool = True) -> tuple[int, int]:
+        """The match after one more word if it continues, else (0, 0); ``short`` takes misread short words too."""
         nxt = self.a.nxt[state]
         to = nxt.get(read)
         if to is not None:
@@ -168,11 +169,42 @@ class LeakFinder:
         # a misread word is only looked for where the match so far leaves few words to be next;
         # what is lost before that comes back by reading leftward from a match
         if size >= 3 and len(nxt) <= 8:
+            least_like = 0
             for w, t in nxt.items():
-                if (read[0] == w[0] or read[-1] == w[-1]) and self.reading.like(read, w):
-                    return t, size + 1
+                if len(w) > SHORT:
+                    if (read[0] == w[0] or read[-1] == w[-1]) and self.reading.like(read, w):
+                        return t, size + 1
+                elif short and not least_like and self.reading.like(read, w):
+                    least_like = t
+            if least_like:
+                return least_like, size + 1
         return 0, 0
 
+    def _taken(self, waiting: list[tuple], ws: list[str], n_line: int) -> tuple[int, int, int] | None:
+        """State, size and start of the open match that goes on with the first word of a line."""
+        nxt = self.a.nxt
+        if waiting and ws[0] not in nxt[waiting[0][1][0]] and len(ws) > 1:
+            # many lines begin with a word that is like a short one: the next word decides
+            for _, (state, size, start), _, _ in waiting:
+                if size >= 3:
+                    s, n = self._step(state, size, ws[0])
+                    if n and self._step(s, n, ws[1], False)[1]:
+                        return s, n, start
+        for _, (state, size, start), last, (before, fewer, begun) in waiting:
+            s, n = self._step(state, size, ws[0], False)
+            if n > 1:
+                return s, n, start
+            # the last word of that line and the first of this one may be one word
+            s, n = self._step(before, fewer, last + ws[0])
+            if n > 1:
+                return s, n, begun
+        for line, (state, size, start), _, _ in waiting:
+            if size >= 3 and line == n_line - 1:
+                s, n = self._step(state, size, ws[0])
+                if n:
+                    return s, n, start
+        return None
+
     def _restart(self, state: int, read: str) -> tuple[int, int]:
         """The longest suffix of the match that the word continues, read exactly."""
         link, nxt, size = self.a.link, self.a.nxt, self.a.size
@@ -206,16 +238,12 @@ class LeakFinder:
                     held = [h for h in held if n_line - h[0] <= patience]
                     # a match that goes on with the very word comes before one that goes on with a likeness
                     exact = lambda h: ws[0] in self.a.nxt[h[1][0]]  # noqa: B023, E731
-                    for h in sorted(held, key=lambda h: (not exact(h), -h[1][1], -h[0])):
-                        s, n = self._step(h[1][0], h[1][1], ws[0])
-                        begun = h[1][2]
-                        if n < 2:  # the last word of that line and the first of this one may be one word
-                            s, n = self._step(h[3][0], h[3][1], h[2] + ws[0])
-                            begun = h[3][2]
-                        if n > 1:
-                            state, size, start, k = s, n, begun, 1
-                            toks.append(ws[0])
-                            break  # h stays open: this line may only look like its next one
+                    waiting = sorted(held, key=lambda h: (not exact(h), -h[1][1], -h[0]))
+                    taken = self._taken(waiting, ws, n_line)
+                    if taken:
+                        state, size, start = taken
+                        k = 1
+                        toks.append(ws[0])  # the match stays open: this line may only look like its next one
                 for w in ws[k:]:
                     prev = (state, size, start)
                     s, n = self._step(state, size, w)

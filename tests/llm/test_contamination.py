@@ -62,6 +62,22 @@ def test_case_punctuation_and_misreads():
     assert leaks(lay(bad)) == {}
 
 
+def test_misread_short_words_inside_a_passage():
+    item = ITEM[:7] + ["of"] + ITEM[7:14] + ["a"] + ITEM[14:30]
+    f = C.LeakFinder(C.Automaton.build([(1, " ".join(item))]), 14)
+    for wrong in ("oi", "f", "off"):
+        got = [*item[:7], wrong, *item[8:15]]
+        assert f.leaks(" ".join(got), None, None) == {1: 15}, wrong
+        # at the head of a line, behind an advert too
+        assert f.leaks("\n".join([" ".join(got[:7]), " ".join(got[7:])]), None, None) == {1: 15}, wrong
+        assert f.leaks("\n".join([" ".join(got[:7]), "on sale", " ".join(got[7:])]), None, None) == {1: 15}, wrong
+    assert f.leaks(" ".join([*item[8:15], "o", *item[16:23]]), None, None) == {1: 15}
+    # another word is no misreading, and neither is the head of any later line
+    assert f.leaks(" ".join([*item[:7], "up", *item[8:15]]), None, None) == {}
+    g = C.LeakFinder(C.Automaton.build([(1, " ".join(ITEM[:13] + ["of"] + ITEM[13:]))]), 14)
+    assert g.leaks("\n".join([" ".join(ITEM[:13]), "x y", "on sale"]), None, None) == {}
+
+
 def test_words_broken_at_line_ends():
     s = " ".join(ITEM[:18])
     for mark in ("-", "=", "¬", "~", "­", ""):
