@@ -10,7 +10,8 @@ Three passes over one row per vertex:
 
 Links double each round, so a tree of depth d takes log2(d) rounds. A vertex
 whose link never reaches a root is on or below a cycle: it stays unprocessed.
-Ancestors and descendants are then plain comparisons of ranges.
+Whether one vertex is below another is then a comparison of ranges; all pairs
+follow from the paths.
 """
 
 from __future__ import annotations
@@ -124,14 +125,14 @@ def _downward(store: Rounds, nodes: DataFrame, max_rounds: int) -> DataFrame:
     return state
 
 
-def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
-    """(vid, descendant_vid, levels) for the vertices ``of.vid`` of a ``hierarchy`` result.
+def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(vid, descendant_vid, levels) for the vertices ``of.vid`` of a ``hierarchy`` result, or for all of its vertices.
 
-    A range join within the root: ranges nest, so the descendants of a vertex
-    are one contiguous run of preorder positions. Vertices on or below a cycle
-    have none.
+    Each vertex emits the ancestors that its path names, so the work is the
+    number of pairs and no two vertices are compared. Vertices on or below a
+    cycle have none.
     """
-    sound = tree.filter(F.col("root_vid") != -1)
-    heads = sound.join(of.select("vid").distinct(), "vid", "left_semi").select(F.col("vid").alias("a"), F.col("root_vid").alias("r"), F.col("lft").alias("al"), F.col("rgt").alias("ar"), F.col("depth").alias("ad"))
-    inside = (sound.root_vid == heads.r) & (sound.lft > heads.al) & (sound.lft <= heads.ar)
-    return sound.join(heads, inside).select(F.col("a").alias("vid"), F.col("vid").alias("descendant_vid"), (F.col("depth") - F.col("ad")).alias("levels"))
+    above = F.posexplode(F.transform(F.slice(F.split("path", "/"), F.lit(1), F.col("depth").cast("int")), lambda x: x.cast("bigint"))).alias("i", "vid")
+    pairs = tree.filter(F.col("depth") > 0).select(F.col("vid").alias("descendant_vid"), "depth", above)
+    out = pairs.select("vid", "descendant_vid", (F.col("depth") - F.col("i")).alias("levels"))
+    return out if of is None else out.join(of.select("vid").distinct(), "vid", "left_semi")

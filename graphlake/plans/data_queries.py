@@ -44,17 +44,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of descendants and of levels below for each vertex outside cycles, from nested-set ranges."""
+    """Number of descendants of each vertex outside cycles, from nested-set ranges."""
     tree = _tree(spark, sf_dir)
     return tree.filter(F.col("root_vid") != -1).select("vid", (F.col("rgt") - F.col("lft")).alias("n_descendants"))
 
 
 def p4_root_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of every root, by the range join."""
+    """All descendants of every root."""
     tree = _tree(spark, sf_dir)
     return descendants(tree, tree.filter(F.col("depth") == 0).select("vid"))
 
 
+def p4_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every vertex outside cycles, with the levels between."""
+    return descendants(_tree(spark, sf_dir))
+
+
 def _key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, g_ie = read_table(spark, sf_dir, "edges"), read_table(spark, sf_dir, "g_ie")
     return key_stats([
@@ -74,7 +79,7 @@ def p5_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _key_stats(spark, sf_dir).filter(F.col("vid").isNotNull())
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_report, p4_found, p4_descendants, p4_root_members, p5_found, p5_key_stats)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_report, p4_found, p4_descendants, p4_root_members, p4_all_descendants, p5_found, p5_key_stats)}
 
 _ID = "try_cast(regexp_extract({0}, '^\\s*([+-]?[0-9]+)\\s*$', 1) AS BIGINT)"
 
@@ -111,6 +116,11 @@ SELECT n.v AS vid, coalesce(w.root, -1) AS root_vid, coalesce(w.depth, -1) AS de
     "p4_descendants": f"""WITH RECURSIVE {_TREE}
 SELECT a AS vid, CAST(count(*) - 1 AS BIGINT) AS n_descendants FROM (SELECT CAST(unnest(string_split(path, '/')) AS BIGINT) AS a FROM walk) GROUP BY 1""",
     "p4_root_members": f"WITH RECURSIVE {_TREE} SELECT root AS vid, v AS descendant_vid, depth AS levels FROM walk WHERE depth > 0",
+    "p4_all_descendants": f"""WITH RECURSIVE {_TREE},
+pairs AS (
+  SELECT p AS vid, v AS descendant_vid, CAST(1 AS BIGINT) AS levels FROM links WHERE v IN (SELECT v FROM walk)
+  UNION ALL SELECT a.vid, l.v, a.levels + 1 FROM pairs a JOIN links l ON l.p = a.descendant_vid)
+SELECT vid, descendant_vid, levels FROM pairs""",
     "p5_key_stats": f"""SELECT table_name, column_name, vid, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT nbr) AS BIGINT) AS n_neighbours FROM (
   SELECT 'edges' AS table_name, 'src_id' AS column_name, src_id AS vid, dst_id AS nbr FROM edges
   UNION ALL SELECT 'edges', 'dst_id', dst_id, src_id FROM edges

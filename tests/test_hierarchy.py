@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from graphlake.operators import hierarchy as H
+from graphlake.plans.data_queries import QUERIES
 
 
 def build(spark, links, extra=False):
@@ -52,6 +53,18 @@ def test_descendants_by_ranges(spark):
     assert rows(H.descendants(tree, of)) == [(1, 2, 1), (1, 3, 2), (1, 4, 1), (2, 3, 1)]
 
 
+def test_descendants_of_all_vertices(spark, tmp_path):
+    rng = random.Random(5)
+    links = [(rng.randrange(i), i) for i in range(1, 60)] + [(-3, -2), (-2, -1), (100, 101), (101, 100), (101, 102), (200, 200)]
+    paths = [list(map(int, path.split("/"))) for _, _, path in brute(links).values() if path]
+    pairs = sorted((a, p[-1], len(p) - 1 - i) for p in paths for i, a in enumerate(p[:-1]))
+    assert rows(H.descendants(build(spark, links))) == pairs
+    plan = H.descendants(build(spark, links))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    spark.createDataFrame([(p, c, 3) for p, c in links] + [(1, 300, 1)], "src_id bigint, dst_id bigint, edge_type int").write.parquet(f"{tmp_path}/edges.parquet")
+    assert rows(QUERIES["p4_all_descendants"](spark, str(tmp_path))) == pairs
+
+
 def test_deep_chain_and_empty(spark):
     n = 300
     got = {r["vid"]: r["depth"] for r in build(spark, [(i, i + 1) for i in range(n)]).collect()}
