@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from graphlake.llm.pages import columns
 
 MIN_WORDS = 14
+#: Words read exactly in a row from which a match is followed both ways.
+SEED = 3
 #: Letters of a word that a single misread letter leaves hardly recognisable: it counts as misread only where a match is open.
 SHORT = 2
 #: Words of all test items together that are built into one automaton.
@@ -223,7 +225,7 @@ class LeakFinder:
         # matches open at the end of a line: line, (state, size, start), last word, (state, size, start) before that word
         held: list[tuple[int, tuple[int, int, int], str, tuple[int, int, int]]] = []
         out: list[tuple[int, int, int]] = []  # state, size, index of the first word
-        least = max(3, self.min // 2)
+        least = min(SEED, self.min)  # what stands before a match is read leftward, and only the sum is judged
         n_line = 0
         for col in cols:
             for line in col:

@@ -62,6 +62,12 @@ def test_case_punctuation_and_misreads():
     assert leaks(lay(bad)) == {}
 
 
+def test_first_exact_words_late_in_a_passage():
+    got = [w if k % 3 else w[:-1] + "q" for k, w in enumerate(ITEM[:11])] + ITEM[11:14]
+    assert leaks([" ".join(got)]) == {1: 14}
+    assert leaks([" ".join(got[1:])]) == {}
+
+
 def test_misread_short_words_inside_a_passage():
     item = ITEM[:7] + ["of"] + ITEM[7:14] + ["a"] + ITEM[14:30]
     f = C.LeakFinder(C.Automaton.build([(1, " ".join(item))]), 14)
