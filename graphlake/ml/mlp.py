@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -211,11 +211,21 @@ def _optimize(net: Network, grads: list[np.ndarray], state: dict, kind: str, rat
         net.params[i] = net.params[i] - rate * step
 
 
+def doubles(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """The columns as doubles, those that are doubles as they stand.
+
+    Above a filter over many columns, each that is named anew, be it to the
+    same name, makes the optimizer double its constraints.
+    """
+    kinds = dict(df.dtypes)
+    return [F.col(c) if kinds.get(c) == "double" else F.col(c).cast("double").alias(c) for c in names]
+
+
 def train_network(net: Network, rows: DataFrame, x_columns: Sequence[str], y_column: str, epochs: int = 10, batch_size: int = 1024, optimizer: str = "adam", rate: float = 0.001, class_weight: dict[float, float] | None = None, valid: DataFrame | None = None, passes: int = 1, seed: int = 5) -> list[dict]:
     """Train in place; a record of loss, and of validation loss, for each epoch. Rows with a null are left out."""
     if optimizer not in OPTIMIZERS:
         raise UnsupportedLayer(f"optimizer {optimizer}; there are {', '.join(OPTIMIZERS)}")
-    data = rows.select(*(F.col(c).cast("double") for c in x_columns), F.col(y_column).cast("double").alias("_y")).na.drop().persist()
+    data = rows.select(*doubles(rows, x_columns), F.col(y_column).cast("double").alias("_y")).na.drop().persist()
     n_x, history = len(x_columns), []
     try:
         for epoch in range(epochs):

@@ -18,7 +18,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.ml.mlp import Network, evaluate_network, predict_network, train_network
+from graphlake.ml.mlp import Network, doubles, evaluate_network, predict_network, train_network
 from graphlake.ml.registry import CATEGORIES, ModelInfo, ModelRegistry
 
 #: Layers of a network when none are given.
@@ -33,7 +33,7 @@ def split(df: DataFrame, columns: Sequence[str], share: float = VALID_SHARE) ->
 
 
 def _clean(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
-    return df.select(*(F.col(c).cast("double").alias(c) for c in x), F.col(y).cast("double").alias("label")).na.drop()
+    return df.select(*doubles(df, x), F.col(y).cast("double").alias("label")).na.drop()
 
 
 def _weight(weights: dict[float, float] | None) -> Column:
@@ -149,7 +149,7 @@ class Tables:
                 return out.select("id", F.col("scores").alias("predict"))
             best = F.array_position("scores", F.array_max("scores")) - 1
             return out.select("id", F.when(F.size("scores") == 1, F.col("scores")[0]).otherwise(best.cast("double")).alias("predict")) if regression or info.category == 0 else out.select("id", best.cast("int").alias("predict"))
-        rows = table.select(key, *(F.col(c).cast("double").alias(c) for c in info.x_columns)).na.drop()
+        rows = table.select(key, *doubles(table, info.x_columns)).na.drop()
         out = PipelineModel.load(self.registry.save_path(model_id)).transform(rows)
         if result_type == "probability" and "probability" in out.columns:
             return out.select("id", vector_to_array("probability").alias("predict"))

@@ -13,7 +13,6 @@ from graphlake.plans.graph_queries import bazaar, trade
 from graphlake.storage import Rounds, read_table
 
 QUERIES: dict = {}
-FEATURES = [f"x{i}" for i in range(8)]
 
 
 def _register(f):
@@ -25,9 +24,14 @@ def _models(spark) -> Tables:
     return Tables(ModelRegistry(spark, Rounds(spark, "models").base))
 
 
-def _vectors(spark, d) -> DataFrame:
+def _vectors(spark, d) -> tuple[DataFrame, list[str]]:
+    """The embeddings with each element as a column, and the names of these."""
     e = read_table(spark, d, "embeddings")
-    return e.select("vec_id", "label", (F.col("label") % 2).alias("odd"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"x{i}" for i in range(n)]
+    wide = e.select("vec_id", "label", (F.col("label") % 2).alias("odd"), *(F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names)))
+    # written, because a filter over many named expressions makes the optimizer double its constraints for each of them
+    return Rounds(spark, "vectors").write(wide)[0], names
 
 
 def _lines(spark, d) -> DataFrame:
@@ -43,14 +47,14 @@ def linreg_predict(spark, d):
 
 @_register
 def logreg_predict(spark, d):
-    t, x = _models(spark), _vectors(spark, d)
-    return t.predict(t.train_logistic_regression(x, FEATURES, "odd"), x, "vec_id", "probability")
+    t, (x, features) = _models(spark), _vectors(spark, d)
+    return t.predict(t.train_logistic_regression(x, features, "odd"), x, "vec_id", "probability")
 
 
 @_register
 def rf_predict(spark, d):
-    t, x = _models(spark), _vectors(spark, d)
-    return t.predict(t.train_random_forest_classifier(x, FEATURES, "label"), x, "vec_id")
+    t, (x, features) = _models(spark), _vectors(spark, d)
+    return t.predict(t.train_random_forest_classifier(x, features, "label"), x, "vec_id")
 
 
 @_register
@@ -61,15 +65,15 @@ def gbt_predict(spark, d):
 
 @_register
 def mlp_predict(spark, d):
-    t, x = _models(spark), _vectors(spark, d)
-    return t.predict(t.train_neural_network_classifier(x, FEATURES, "label", epochs=3, batch_size=64, rate=0.01), x, "vec_id")
+    t, (x, features) = _models(spark), _vectors(spark, d)
+    return t.predict(t.train_neural_network_classifier(x, features, "label", epochs=3, batch_size=64, rate=0.01), x, "vec_id")
 
 
 @_register
 def mlp_evaluate(spark, d):
     """Loss and accuracy of a network, and of the same network trained on."""
-    t, x = _models(spark), _vectors(spark, d)
-    first = t.train_neural_network_classifier(x, FEATURES, "label", epochs=2, batch_size=64, rate=0.01)
+    t, (x, features) = _models(spark), _vectors(spark, d)
+    first = t.train_neural_network_classifier(x, features, "label", epochs=2, batch_size=64, rate=0.01)
     again = t.train_from(first, x)
     rows = [(i, *t.evaluate(m, x, metrics=["loss", "accuracy"])) for i, m in enumerate((first, again))]
     return spark.createDataFrame(rows, "run int, loss double, accuracy double")

@@ -4,6 +4,7 @@ import pytest
 from graphlake.ml.mlp import LOSSES, Network, UnsupportedLayer
 from graphlake.ml.registry import ModelRegistry, class_weights, parse_pairs
 from graphlake.ml.tabular import Tables
+from graphlake.plans.ml_queries import QUERIES
 
 
 @pytest.mark.parametrize("loss", LOSSES)
@@ -56,3 +57,12 @@ def test_models_end_to_end(spark, tmp_path):
         t.train_random_forest_classifier(df.filter("c = 1"), ["a", "b"], "c")
     with pytest.raises(KeyError):
         t.registry.info("nobody")
+
+
+def test_table_models_use_every_element_of_an_embedding(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(300, 10))
+    data = [(i, int(v[9] > 0), [float(x) for x in v]) for i, v in enumerate(vectors)]
+    spark.createDataFrame(data, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    scores = {int(r["id"]): r["predict"][1] for r in QUERIES["logreg_predict"](spark, str(tmp_path)).collect()}
+    assert sum((scores[i] > 0.5) == bool(label) for i, label, _ in data) / len(data) > 0.95
