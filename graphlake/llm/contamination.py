@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.pages import columns
+from graphlake.llm.pages import columns, lists
 
 MIN_WORDS = 14
 #: Words read exactly in a row from which a match is followed both ways.
@@ -305,7 +305,7 @@ def _leak_batches(automaton: Automaton, min_words: int):
         for b in batches:
             docs, items, sizes = [], [], []
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            x0, y0 = _lists(b.column(2)), _lists(b.column(3))
+            x0, y0 = lists(b.column(2)), lists(b.column(3))
             for k, text in enumerate(texts):
                 for item, n in finder.leaks(text, x0(k), y0(k)).items():
                     docs.append(ids[k])
@@ -316,17 +316,6 @@ def _leak_batches(automaton: Automaton, min_words: int):
     return run
 
 
-def _lists(col: pa.Array):
-    """Access to the list of a row; None for a null list or one with nulls inside."""
-    flat, offs = col.values, col.offsets.to_pylist()
-    if flat.null_count:
-        rows = col.to_pylist()
-        return lambda k: None if rows[k] is None or None in rows[k] else rows[k]
-    null = col.is_null().to_pylist() if col.null_count else None
-    values = flat.to_pylist()
-    return lambda k: None if null and null[k] else values[offs[k] : offs[k + 1]]
-
-
 def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", lines: str | None = "lines", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_words): pages with a passage of an item of at least ``min_words`` consecutive words.
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 
 #: Two columns run together into one line: two or more blanks, or a bar between blanks.
 _GAP = re.compile(r"\s*\|\s*|\s{2,}")
@@ -72,3 +74,14 @@ def _places(parts: list, edges: list[int], lines: Sequence[str], x0: Sequence[in
         if cost is None or c < cost:
             best, cost = at, c
     return best
+
+
+def lists(col: pa.Array) -> Callable[[int], list[int] | None]:
+    """Access to the list of a row; None for a null list or one with nulls inside."""
+    flat, offs = col.values, col.offsets.to_pylist()
+    if flat.null_count:
+        rows = col.to_pylist()
+        return lambda k: None if rows[k] is None or None in rows[k] else rows[k]
+    null = col.is_null().to_pylist() if col.null_count else None
+    values = flat.to_pylist()
+    return lambda k: None if null and null[k] else values[offs[k] : offs[k + 1]]

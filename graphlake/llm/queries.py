@@ -67,12 +67,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of repeated keywords, links or product tags."""
-    return spam_pages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    return spam_pages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), prose_lang="lang")
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of spam and mean surprisal of every page."""
-    return spam_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    return spam_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), prose_lang="lang")
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p2_found, p2_copy_counts, p6_found, p6_clean, p7_selection, p7_shares, p8_found, p8_scores)}
