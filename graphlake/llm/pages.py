@@ -21,17 +21,28 @@ def pieces(line: str) -> list[str]:
     return [p for p in _GAP.split(line) if p]
 
 
-def columns(lines: Sequence[str], x0: Sequence[int] | None, y0: Sequence[int] | None) -> list[list[str]]:
-    """The lines of each column, top down, columns from left to right.
+def placed_pieces(number: int, line: str) -> list[tuple[int, int, str]]:
+    """``pieces`` with the number of the line and the place of the first letter in it."""
+    out, at = [], 0
+    for p in pieces(line):
+        at = line.index(p, at)
+        out.append((number, at, p))
+        at += len(p)
+    return out
+
+
+def columns(lines: Sequence, x0: Sequence[int] | None, y0: Sequence[int] | None, split: Callable = pieces) -> list[list]:
+    """The lines of each column, top down, columns from left to right; ``split`` gives the pieces of a line.
 
     Without boxes all lines are one column in the order of the text, so the
     reader must allow for lines of other columns in between.
     """
     if x0 is None or len(x0) != len(lines):
-        width = max((len(pieces(x)) for x in lines), default=1)
+        parted = [split(x) for x in lines]
+        width = max(map(len, parted), default=1)
         out: list[list[str]] = [[] for _ in range(max(width, 1))]
-        for line in lines:
-            for k, p in enumerate(pieces(line)):
+        for line in parted:
+            for k, p in enumerate(line):
                 out[k].append(p)
         return [c for c in out if c]
     edges: list[int] = []
@@ -45,7 +56,7 @@ def columns(lines: Sequence[str], x0: Sequence[int] | None, y0: Sequence[int] |
         first = 0
         while x0[i] > edges[first]:
             first += 1
-        parts.append((first, i, pieces(line)))
+        parts.append((first, i, split(line)))
     # rows of several columns only show the left edge of their first column
     width = max((f + len(p) for f, _, p in parts), default=1)
     if width > len(edges) and len(edges) > 1:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.functions.ids import numeric_id
-from graphlake.llm.contamination import leaked_items, remove_leaks
+from graphlake.llm.contamination import cut_leaks, leak_spans, leaked_items
 from graphlake.llm.format_copies import format_copies, record_counts
 from graphlake.llm.match_groups import match_groups
 from graphlake.llm.mixing import default_vocabulary, mix, mixture_shares, shuffled_shards, token_counts
@@ -44,10 +44,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of pages that leak, by their characters."""
+    return leak_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id", "start", "end")
+
+
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of the pages that are left when every page with a leak is removed."""
-    documents = read_table(spark, sf_dir, "documents")
-    return remove_leaks(documents, leaked_items(documents, read_table(spark, sf_dir, "eval_items"))).select("doc_id")
+    """The pages without what leaks: characters cut and share of leaked words; pages that are mostly leaks are gone."""
+    kept = cut_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    return kept.select("doc_id", F.length("text").alias("n_chars"), "n_cut", "coverage")
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +80,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), prose_lang="lang")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p2_found, p2_copy_counts, p6_found, p6_clean, p7_selection, p7_shares, p8_found, p8_scores)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_group_sizes, p2_found, p2_copy_counts, p6_found, p6_spans, p6_clean, p7_selection, p7_shares, p8_found, p8_scores)}
 
 _ID = "try_cast(regexp_extract({0}, '^\\s*([+-]?[0-9]+)\\s*$', 1) AS BIGINT)"
 

@@ -156,3 +156,105 @@ def test_pieces_and_columns():
     assert columns(["a", "b", "c"], [100, 1300, 101], [1, 1, 2]) == [["a", "c"], ["b"]]
     assert columns(["a   b", "c"], [100, 1300], [1, 2]) == [["a"], ["b", "c"]]
     assert columns([], [], []) == []
+
+
+def wrong(word, k=2):
+    return word[:k] + "q" + word[k + 1 :]
+
+
+@pytest.mark.parametrize("n", [2, 9, 20, 200])
+def test_a_misread_word_where_many_items_branch(n):
+    stem = text(10, 21)
+    branches = [f"{'bcdfghklmnprstvw'[k % 16]}{'aeiou'[k // 16 % 5]}{'rlnm'[k // 80]}tingale" for k in range(n)]
+    f = C.LeakFinder(C.Automaton.build([(k, " ".join(stem + [w] + text(20, 100 + k))) for k, w in enumerate(branches)]))
+    for k in (0, n - 1):
+        got = stem + [wrong(branches[k], 5)] + text(20, 100 + k)[:3]
+        assert f.leaks("\n".join(lay(text(9, 7)) + lay(got) + lay(text(9, 8))), None, None) == {k: 14}
+
+
+@pytest.mark.parametrize("bad", [(2, 5, 8, 11), (0, 2, 4, 6, 8, 10, 12), (1, 3, 5, 7, 9, 11, 13), range(1, 14), range(13)])
+def test_many_misread_words(bad):
+    got = [wrong(w) if k in bad else w for k, w in enumerate(ITEM[4:18])]
+    assert leaks(lay(text(9, 7)) + lay(got) + lay(text(9, 8))) == {1: 14}
+    assert leaks(lay(text(9, 7)) + lay(got[1:]) + lay(text(9, 8))) == {}
+
+
+@pytest.mark.parametrize("n", [1, 7, 9, 30, 300])
+@pytest.mark.parametrize("at", [1, 2])
+def test_any_number_of_adverts_between_lines(n, at):
+    lines = lay(ITEM[:15])
+    lines[at:at] = [f"MILLER'S TEA no. {k}" if k % 2 else "3/6. for sale" for k in range(n)]
+    assert leaks(lines) == {1: 15}
+    boxes = [100] * len(lines), list(range(len(lines)))
+    assert leaks(lines, *boxes) == {1: 15}
+
+
+def test_a_word_broken_around_adverts():
+    lines = [" ".join(ITEM[:7]) + " " + ITEM[7][:4] + "-", *["MILLER'S TEA"] * 12, ITEM[7][4:] + " " + " ".join(ITEM[8:15])]
+    assert leaks(lines) == {1: 15}
+
+
+def test_the_end_of_a_passage_that_another_item_goes_on_with():
+    items = [(1, " ".join(ITEM)), (2, " ".join(OTHER[:5] + ITEM[14:18] + ["the", "end"] + OTHER[5:20]))]
+    got = [wrong(w) if k in (3, 6, 9, 12) else w for k, w in enumerate(ITEM[4:18])] + ["the", "other"]
+    assert C.LeakFinder(C.Automaton.build(items)).leaks(" ".join(got), None, None) == {1: 14}
+
+
+def test_misread_letters():
+    for a, b, letters, same in (("of", "oi", 1, True), ("of", "f", 1, True), ("barn", "bam", 1, True), ("abc", "xbd", 1, False), ("abc", "xbd", 2, True), ("ab", "ba", 1, False), ("", "ab", 1, False), ("corner", "c0mer", 2, True), ("ab", "cd", 1, False)):
+        assert C.misread(a, b, letters) == C.misread(b, a, letters) == same, (a, b)
+
+
+def test_near_words_match_brute_force():
+    r = random.Random(4)
+    vocabulary = {"".join(r.choice("abc") for _ in range(r.randrange(1, 5))) for _ in range(60)}
+    v = C.Vocabulary(vocabulary)
+
+    def one(a, b):
+        return a != b and (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1 or any(max(a, b, key=len)[:i] + max(a, b, key=len)[i + 1 :] == min(a, b, key=len) for i in range(max(len(a), len(b)))) and abs(len(a) - len(b)) == 1)
+
+    for _ in range(300):
+        read = "".join(r.choice("abcd") for _ in range(r.randrange(1, 6)))
+        assert set(v.near(read)) == {w for w in vocabulary if one(read, w)}, read
+
+
+def test_repeated_text_builds_in_linear_space():
+    a = C.Automaton.build([(1, " ".join(["so"] * 30_000)), (2, " ".join(["so", "it"] * 10_000))])
+    assert len(a.flat) == 50_000
+    assert C.LeakFinder(a).leaks(" ".join(["so"] * 14 + ["x"]), None, None) == {1: 14}
+
+
+def test_spans_cover_the_passage_and_nothing_else():
+    left, right = lay(ITEM[:20]), lay(text(20, 6))
+    left.insert(2, "MILLER'S TEA")
+    joined = [a + "    " + b for a, b in zip(left, [*right, "foot"], strict=True)]
+    page = "\n".join(joined)
+    spans, bad, total = finder().spans(page, [100] * 5, [10, 20, 30, 40, 50])
+    assert [page[x:y] for _, x, y in spans] == [left[0], left[1], left[3], left[4]] and {i for i, _, _ in spans} == {1}
+    assert (bad, total) == (20, 43)
+    assert finder().spans("nothing here", None, None) == ([], 0, 2) and finder().spans(None, None, None) == ([], 0, 0)
+
+
+def test_cut_leaks(spark):
+    s = " ".join
+    pad = text(40, 13)
+    docs = [(1, s(pad + ITEM[:20] + pad), None, "x"), (2, s(ITEM[:30]), None, "x"), (3, None, None, "x"), (4, "", [], "x"), (None, s(pad + ITEM[:14]), None, "x"), (5, s(pad), None, "x"), (5, s(pad), None, "x")]
+    d = spark.createDataFrame(docs, f"doc_id bigint, text string, lines {BOX}, pieces string")
+    items = spark.createDataFrame([(1, s(ITEM)), (2, s(OTHER))], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in C.cut_leaks(d, items).collect()}
+    assert got[1]["text"].split() == pad + pad and got[1]["n_cut"] == len(s(ITEM[:20])) and abs(got[1]["coverage"] - 0.2) < 1e-9
+    assert 2 not in got and got[3]["text"] is None and got[4]["text"] == "" and got[None]["text"].split() == pad
+    assert C.cut_leaks(d, items).filter("doc_id = 5").count() == 2
+    assert C.cut_leaks(d, items, max_coverage=1.0).filter("doc_id = 2").first()["text"].strip() == ""
+    assert rows(C.leak_spans(d.limit(0), items)) == []
+
+
+def test_parts_find_what_one_automaton_finds(spark, monkeypatch):
+    s = " ".join
+    all_items = [(k, s(text(30, 300 + k))) for k in range(12)]
+    d = spark.createDataFrame([(k, s(text(9, 7) + text(30, 300 + k % 12)[5:25]), None) for k in range(20)], f"doc_id bigint, text string, lines {BOX}")
+    items = spark.createDataFrame(all_items, "item_id bigint, text string")
+    whole = rows(C.leaked_items(d, items))
+    assert len(whole) >= 20
+    monkeypatch.setattr(C, "MAX_ITEM_WORDS", 100)
+    assert rows(C.leaked_items(d, items)) == whole
