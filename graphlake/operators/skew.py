@@ -58,3 +58,31 @@ def heavy_keys(stats: DataFrame, share: float = 0.01) -> DataFrame:
         .filter(F.col("vid").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("total")))
         .drop("total")
     )
+
+
+#: Rows of one key that a single task may hold.
+HOT_ROWS = 1_000_000
+#: Keys that can have more rows than that are at most so many, whatever the table: the bound of what is broadcast.
+MOST_HOT = 10_000
+
+
+def hot_bound(total: int) -> int:
+    """Rows from which a key is hot in a table of ``total`` rows; at most ``MOST_HOT`` keys can be."""
+    return max(HOT_ROWS, -(-total // MOST_HOT))
+
+
+def join_to_keys(rows: DataFrame, keys: DataFrame, key: str, total: int, count: str | None = None) -> DataFrame:
+    """``rows`` with the columns of their key in ``keys``, which has one row a key; an inner join that splits hot keys.
+
+    ``total`` is the number of rows, ``count`` the column of ``keys`` with the
+    rows of each key; it may be left out where no key can be hot. Rows of hot
+    keys stay where they are and get their key by a broadcast of at most
+    ``MOST_HOT`` rows; only the others are shuffled. ``keys`` should be a
+    written table, since it is read twice.
+    """
+    if count is None or total <= HOT_ROWS:
+        return rows.join(keys, key)
+    bound = hot_bound(total)
+    hot = F.broadcast(keys.filter(F.col(count) > bound))
+    cold = rows.join(F.broadcast(keys.filter(F.col(count) > bound).select(key)), key, "left_anti").join(keys.filter(F.col(count) <= bound), key)
+    return rows.join(hot, key).unionByName(cold)
