@@ -19,9 +19,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlake.operators import skew
 from graphlake.storage import Rounds
 
 # Two primes below 2**31, so that products fit 64 bits; bases are arbitrary odd constants.
@@ -156,22 +158,36 @@ def _weight_keys(c: _Column) -> np.ndarray:
     return _mix(_poly(c.cps[sig] - 47, c.row[sig], rows), (scale + 100_000) * 2 + minus)
 
 
+def _record_keys(cols: Sequence[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are records, and the key of each."""
+    cols = [_Column(c) for c in cols]
+    first = np.stack([c.first_kept() for c in cols])
+    digit = (first >= 48) & (first <= 57)
+    whole = (first != 0).all(axis=0) & ~np.any([c.null for c in cols], axis=0) & (digit.sum(axis=0) == 1)
+    ids, weights = np.stack([_id_keys(c) for c in cols]), np.stack([_weight_keys(c) for c in cols])
+    w = np.where(digit, weights, 0).sum(axis=0, dtype=np.uint64)
+    id_keys = np.where(digit, 0, ids)
+    big = id_keys.max(axis=0)
+    small = id_keys.sum(axis=0, dtype=np.uint64) - big
+    k = (big * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (small + np.uint64(0x165667B19E3779F9))
+    k = (k ^ (k >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    k ^= w * np.uint64(0xD6E8FEB86659FD93)
+    keep = np.flatnonzero(whole)
+    return keep, k[keep].view(np.int64)
+
+
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols = [_Column(b.column(i)) for i in (1, 2, 3)]
-        first = np.stack([c.first_kept() for c in cols])
-        digit = (first >= 48) & (first <= 57)
-        whole = (first != 0).all(axis=0) & ~np.any([c.null for c in cols], axis=0) & (digit.sum(axis=0) == 1)
-        ids, weights = np.stack([_id_keys(c) for c in cols]), np.stack([_weight_keys(c) for c in cols])
-        w = np.where(digit, weights, 0).sum(axis=0, dtype=np.uint64)
-        id_keys = np.where(digit, 0, ids)
-        big = id_keys.max(axis=0)
-        small = id_keys.sum(axis=0, dtype=np.uint64) - big
-        k = (big * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (small + np.uint64(0x165667B19E3779F9))
-        k = (k ^ (k >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        k ^= w * np.uint64(0xD6E8FEB86659FD93)
-        keep = np.flatnonzero(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), b.column(0).take(pa.array(keep))], names=["h", "line_id"])
+        keep, keys = _record_keys([b.column(i) for i in (1, 2, 3)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(keep))], names=["h", "line_id"])
+
+
+def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_hash_batches`` with their three fields beside them."""
+    for b in batches:
+        for keyed in _hash_batches(iter([b])):
+            at = pc.index_in(keyed.column(1), value_set=b.column(0)) if len(keyed) else pa.array([], pa.int32())
+            yield pa.RecordBatch.from_arrays([keyed.column(0), keyed.column(1), *(b.column(i).take(at) for i in (1, 2, 3))], names=["h", "line_id", "f0", "f1", "f2"])
 
 
 def same_letters(a: str, b: str) -> bool:
@@ -239,12 +255,26 @@ def same_record(a: Sequence[str], b: Sequence[str]) -> bool:
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares each line with the first of its hash; only lines written otherwise are read by pointers."""
     for b in batches:
-        f = [b.column(i).to_pylist() for i in range(3, 9)]
-        same = [same_record(x[:3], x[3:]) for x in zip(*f, strict=True)]
+        f = [b.column(i) for i in range(3, 9)]
+        alike = pc.and_(pc.and_(pc.equal(f[0], f[3]), pc.equal(f[1], f[4])), pc.equal(f[2], f[5]))
+        same = np.array(alike, dtype=bool)
+        rest = np.flatnonzero(~same)
+        if len(rest):
+            g = [c.take(pa.array(rest)).to_pylist() for c in f]
+            same[rest] = [same_record(x[:3], x[3:]) for x in zip(*g, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(same, pa.bool_())], names=["h", "line_id", "rep", "same"])
 
 
+_FIELDS = ("f0", "f1", "f2")
+_HEAD = ("g0", "g1", "g2")
+
+
+def _raw(lines: DataFrame, line_id: str, fields: Sequence[str]) -> DataFrame:
+    return lines.select(F.col(line_id).cast("bigint").alias("line_id"), *(F.col(c).cast("string").alias(f) for f, c in zip(_FIELDS, fields, strict=True)))
+
+
 def format_copies(lines: DataFrame, line_id: str = "line_id", fields: Sequence[str] = ("src_id", "dst_id", "weight"), max_rounds: int = 20) -> DataFrame:
     """(line_id_a, line_id_b): the smallest line of a record with each further line of it.
 
@@ -252,31 +282,50 @@ def format_copies(lines: DataFrame, line_id: str = "line_id", fields: Sequence[s
     one number among its fields is in no record. Only the four columns are
     read. An empty table gives no rows. ``line_id`` must be unique.
 
-    The smallest line of each hash comes from a fold before the shuffle; lines
-    that share it are joined to that one line, so a record of very many copies
-    is split over tasks and pairs never multiply. Lines that turn out to
-    differ from it are grouped again by themselves until none are left.
+    The hash pass carries the fields, so that the text is shuffled once, by
+    hash, and the smallest line of each hash is found where its lines lie.
+    Hashes with very many lines are not shuffled at all: their smallest lines,
+    a bounded number, are broadcast to where the copies stand. Lines that turn
+    out to differ from the smallest line are grouped again by themselves until
+    none are left.
     """
     store = Rounds(lines.sparkSession, "format-copies")
-    raw = lines.select(F.col(line_id).cast("bigint").alias("line_id"), *(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)))
-    hashed = raw.mapInArrow(_hash_batches, "h bigint, line_id bigint")
-    open_lines, _ = store.write(hashed)
+    open_lines, seen = store.write(_raw(lines, line_id, fields).mapInArrow(_text_batches, "h bigint, line_id bigint, f0 string, f1 string, f2 string"), n=F.count(F.lit(1)))
     done = None
     for _ in range(max_rounds):
-        groups = open_lines.groupBy("h").agg(F.min("line_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
-        pairs = open_lines.join(groups, "h").filter(F.col("line_id") != F.col("rep"))
-        texts = raw.select("line_id", "f0", "f1", "f2")
-        heads = raw.select(F.col("line_id").alias("rep"), *(F.col(f"f{i}").alias(f"g{i}") for i in range(3)))
-        full = pairs.join(texts, "line_id").join(heads.join(groups.select("rep"), "rep", "left_semi"), "rep").select("h", "line_id", "rep", "f0", "f1", "f2", "g0", "g1", "g2")
-        checked, seen = store.write(full.mapInArrow(_verify_batches, "h bigint, line_id bigint, rep bigint, same boolean"), wrong=F.count_if(~F.col("same")))
+        groups, _ = store.write(open_lines.groupBy("h").agg(F.min("line_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+        checked, found = store.write(_with_heads(open_lines, groups, seen["n"]).mapInArrow(_verify_batches, "h bigint, line_id bigint, rep bigint, same boolean"), wrong=F.count_if(~F.col("same")))
         good = checked.filter("same").select(F.col("rep").alias("line_id_a"), F.col("line_id").alias("line_id_b"))
         done = good if done is None else done.unionAll(good)
-        if not seen["wrong"]:
+        store.drop(groups)
+        if not found["wrong"]:
+            store.drop(open_lines)
             return done
-        open_lines = checked.filter("not same").select("h", "line_id")
+        # hashes that met by chance are few
+        again, seen = store.write(open_lines.join(checked.filter("not same").select("line_id"), "line_id", "left_semi"), n=F.count(F.lit(1)))
+        store.drop(open_lines)
+        open_lines = again
     raise RuntimeError("hash groups did not resolve")
 
 
-def record_counts(lines: DataFrame, copies: DataFrame, line_id: str = "line_id") -> DataFrame:
-    """(line_id, n_copies) of the kept line of each record that has copies, itself included."""
-    return copies.groupBy(F.col("line_id_a").alias(line_id)).agg((F.count(F.lit(1)) + 1).alias("n_copies"))
+def _with_heads(open_lines: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """(h, line_id, rep, fields, fields of rep) of all lines that are not the smallest of their hash."""
+    hot = F.col("n") > skew.hot_bound(total)
+    cold = open_lines.join(groups.filter(~hot), "h")
+    first = Window.partitionBy("h").orderBy("line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beside = cold.select("h", "line_id", "rep", *_FIELDS, *(F.first(f).over(first).alias(g) for f, g in zip(_FIELDS, _HEAD, strict=True)))
+    if total > skew.HOT_ROWS:
+        few = F.broadcast(groups.filter(hot).select("h", "rep"))  # at most MOST_HOT rows, and their heads below
+        heads = open_lines.join(F.broadcast(groups.filter(hot).select(F.col("rep").alias("line_id"))), "line_id", "left_semi").select("h", *(F.col(f).alias(g) for f, g in zip(_FIELDS, _HEAD, strict=True)))
+        beside = beside.unionByName(open_lines.join(few, "h").join(F.broadcast(heads), "h"))
+    return beside.filter(F.col("line_id") != F.col("rep")).select("h", "line_id", "rep", *_FIELDS, *_HEAD)
+
+
+def record_counts(lines: DataFrame, copies: DataFrame, line_id: str = "line_id", fields: Sequence[str] = ("src_id", "dst_id", "weight")) -> DataFrame:
+    """(line_id, n_copies) of the kept line of each record, itself included; 1 for a record without copies.
+
+    ``copies`` come from ``format_copies``. Lines that are in no record have no row.
+    """
+    records = _raw(lines, line_id, fields).mapInArrow(_hash_batches, "h bigint, line_id bigint")
+    head = records.join(copies, F.col("line_id") == F.col("line_id_b"), "left").select(F.coalesce("line_id_a", "line_id").alias(line_id))
+    return head.groupBy(line_id).agg(F.count(F.lit(1)).alias("n_copies"))

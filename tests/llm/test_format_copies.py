@@ -77,3 +77,20 @@ def test_many_copies(spark):
     assert got == [(0, i) for i in range(1, 500)] + [(500, 501), (500, 502)]
     df = spark.createDataFrame([(i, *x, 1, "") for i, x in enumerate(lines)], SCHEMA)
     assert rows(M.record_counts(df, M.format_copies(df))) == [(0, 500), (500, 3)]
+
+
+def test_hot_records_are_split(spark, monkeypatch):
+    from graphlake.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    monkeypatch.setattr(skew, "MOST_HOT", 40)
+    rng = random.Random(3)
+    lines = [(rng.choice(["A1", "a-1", " a1"]), "B1", rng.choice(["1", "1.0"])) for _ in range(600)] + [(f"C{k}", "B1", "2") for k in range(200)] + [("c5", "b-1", "2,0")] * 3
+    got = run(spark, lines)
+    assert got == [(0, i) for i in range(1, 600)] + [(605, i) for i in (800, 801, 802)]
+
+
+def test_counts_include_records_of_one_line(spark):
+    lines = [("A1", "B1", "1"), ("C1", "B1", "2"), ("a1", "b1", "1.0"), (None, "B1", "2"), ("1", "2", "3")]
+    df = spark.createDataFrame([(i, *x, 1, "") for i, x in enumerate(lines)], SCHEMA)
+    assert rows(M.record_counts(df, M.format_copies(df))) == [(0, 2), (1, 1)]
