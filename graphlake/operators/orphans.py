@@ -5,9 +5,11 @@ moment of the referring row. Rows that reference a record which itself rests
 on an orphan are inherited orphans: the direct ones are pushed down the
 foreign-key graph by repeated semi-joins until a round finds nobody new.
 
-Each round follows links of twice the length, so a chain of depth d takes
-log2(d) rounds instead of d. Because the nearest orphan above a record decides,
-a round without new records proves the fixpoint, on cycles too.
+Where records have one parent each, every round follows links of twice the
+length, so a chain of depth d takes log2(d) rounds instead of d. A record of
+several parents keeps its pairs as they are, and links of others end at it: no
+round has more links than the pairs it began with. A round without new records
+proves the fixpoint, on cycles too.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def direct_orphans(rows: DataFrame, row_key: Column, refs: Sequence[str], at: Co
     return flat.join(life, covered, "left_anti").select("row_key", F.element_at(names, F.col("e") + 1).alias("endpoint"), "ref", "at")
 
 
-def orphan_cascade(rows: DataFrame, row_key: Column, refs: Sequence[str], at: Column, parents: DataFrame, parent_key: Column, valid_from: Column, valid_to: Column, hierarchy: Hierarchy | None = None, max_rounds: int = 64) -> DataFrame:
+def orphan_cascade(rows: DataFrame, row_key: Column, refs: Sequence[str], at: Column, parents: DataFrame, parent_key: Column, valid_from: Column, valid_to: Column, hierarchy: Hierarchy | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(row_key, endpoint, at, kind), kind 'direct' or 'inherited', distinct.
 
     A reference that is a direct orphan is not listed as inherited too. Null
@@ -67,23 +69,31 @@ def orphan_cascade(rows: DataFrame, row_key: Column, refs: Sequence[str], at: Co
         return out
     member = rows.filter(hierarchy.member).select(row_key.alias("row_key"), hierarchy.provides.cast("bigint").alias("key"), hierarchy.depends.cast("bigint").alias("ptr"), at.alias("at")).filter(F.col("ptr").isNotNull())
     member, _ = store.write(member.distinct())
-    pairs = member.filter(F.col("key").isNotNull()).select("key", "ptr").distinct()
+    parents = member.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("ptr").alias("ptr"), (F.min("ptr") == F.max("ptr")).alias("one"))
+    parents, _ = store.write(parents)
+    jumps = parents.filter("one").select("key", "ptr")
+    # records of several parents are followed one link a round, by all of their pairs
+    several = member.select("key", "ptr").join(parents.filter("not one").select("key"), "key", "left_semi")
     hit, n = store.write(member.join(direct.select("row_key"), "row_key", "left_semi").filter(F.col("key").isNotNull()).select("key").distinct(), n=F.count(F.lit(1)))
     frontier_found = n["n"]
     for _ in range(max_rounds):
         if not frontier_found:
             break
-        new = pairs.join(hit.select(F.col("key").alias("ptr")), "ptr", "left_semi").select("key").distinct().join(hit, "key", "left_anti")
+        above = hit.select(F.col("key").alias("ptr"))
+        new = jumps.unionAll(several).join(above, "ptr", "left_semi").select("key").distinct().join(hit, "key", "left_anti")
         fresh, n = store.write(new, n=F.count(F.lit(1)))
         frontier_found = n["n"]
         if not frontier_found:
+            store.drop(fresh, jumps)
             break
         both, _ = store.write(hit.unionAll(fresh))
-        a, b = pairs.alias("a"), pairs.alias("b")
-        longer = a.join(b, F.col("a.ptr") == F.col("b.key")).select(F.col("a.key").alias("key"), F.col("b.ptr").alias("ptr")).distinct()
-        jumped, _ = store.write(longer)
-        store.drop(hit, fresh, pairs)
-        hit, pairs = both, jumped
+        # one row a key on the right, so the long side on the left can be split where many records share a parent
+        up = jumps.select(F.col("key").alias("ptr"), F.col("ptr").alias("far"))
+        jumped, _ = store.write(jumps.join(up, "ptr", "left").select("key", F.coalesce("far", "ptr").alias("ptr")))
+        store.drop(hit, fresh, jumps)
+        hit, jumps = both, jumped
+    else:
+        raise RuntimeError(f"orphans are still found after {max_rounds} rounds")
     inherited = (
         member.join(hit.select(F.col("key").alias("ptr")), "ptr", "left_semi")
         .select("row_key", F.lit(hierarchy.endpoint).alias("endpoint"), "at")

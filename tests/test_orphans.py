@@ -50,3 +50,33 @@ def test_report_and_empty_tables(spark):
 
 def test_null_moment_is_covered_by_nothing(spark):
     assert found(cascade(spark, [(1, 1, 1, 1, None)], [(1, JAN, None)])) == [(1, "dst_id", "direct"), (1, "src_id", "direct")]
+
+
+def test_cascade_with_several_parents_keeps_its_links(spark, monkeypatch):
+    """Layers of records with three parents each, chains below them, and a cycle."""
+    import random
+
+    from graphlake.operators import orphans as O
+
+    written = []
+    write = O.Rounds.write
+
+    def watched(self, df, **metrics):
+        out, seen = write(self, df, **metrics)
+        if set(df.columns) == {"key", "ptr"}:
+            written.append(out.count())
+        return out, seen
+
+    monkeypatch.setattr(O.Rounds, "write", watched)
+    r = random.Random(6)
+    links = {(10 * k + r.randrange(10), 10 * (k + 1) + j) for k in range(1, 7) for j in range(10) for _ in range(3)}
+    links |= {(75, 1000)} | {(k, k + 1) for k in range(1000, 1030)} | {(2000, 2001), (2001, 2000), (5, 14), (5, 2000)}
+    alive = {v for x in links for v in x} - {5}
+    edges = [(k, a, b, 3, FEB) for k, (a, b) in enumerate(sorted(links))]
+    got = found(cascade(spark, edges, [(v, JAN, None) for v in sorted(alive)]))
+    bad = {b for a, b in links if a == 5}
+    while more := {b for a, b in links if a in bad} - bad:
+        bad |= more
+    want = [(k, "src_id", "direct" if a == 5 else "inherited") for k, a, b, _, _ in edges if a == 5 or a in bad]
+    assert got == sorted(want) and len(bad) > 60
+    assert written and max(written) <= len(links)
