@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.functions.ids import numeric_id
-from graphlake.operators.hierarchy import descendants, hierarchy
+from graphlake.operators.hierarchy import descendants, hierarchy, other_parents
 from graphlake.operators.orphans import Hierarchy, orphan_cascade, orphan_report
 from graphlake.operators.skew import KeyColumn, heavy_keys, key_stats
 from graphlake.storage import read_table
@@ -55,6 +55,12 @@ def p4_root_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(tree, tree.filter(F.col("depth") == 0).select("vid"))
 
 
+def p4_other_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to a parent that is not the smallest of its child, which the hierarchy does not follow."""
+    edges = read_table(spark, sf_dir, "edges").filter(F.col("edge_type") == PARENT_TO_CHILD)
+    return other_parents(edges, F.col("src_id"), F.col("dst_id"), hierarchy(edges, F.col("src_id"), F.col("dst_id")))
+
+
 def p4_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All descendants of every vertex outside cycles, with the levels between."""
     return descendants(_tree(spark, sf_dir))
@@ -79,7 +85,7 @@ def p5_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _key_stats(spark, sf_dir).filter(F.col("vid").isNotNull())
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_report, p4_found, p4_descendants, p4_root_members, p4_all_descendants, p5_found, p5_key_stats)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_report, p4_found, p4_descendants, p4_root_members, p4_other_parents, p4_all_descendants, p5_found, p5_key_stats)}
 
 _ID = "try_cast(regexp_extract({0}, '^\\s*([+-]?[0-9]+)\\s*$', 1) AS BIGINT)"
 
@@ -116,6 +122,7 @@ SELECT n.v AS vid, coalesce(w.root, -1) AS root_vid, coalesce(w.depth, -1) AS de
     "p4_descendants": f"""WITH RECURSIVE {_TREE}
 SELECT a AS vid, CAST(count(*) - 1 AS BIGINT) AS n_descendants FROM (SELECT CAST(unnest(string_split(path, '/')) AS BIGINT) AS a FROM walk) GROUP BY 1""",
     "p4_root_members": f"WITH RECURSIVE {_TREE} SELECT root AS vid, v AS descendant_vid, depth AS levels FROM walk WHERE depth > 0",
+    "p4_other_parents": f"WITH RECURSIVE {_TREE} SELECT v AS vid, p AS parent_vid FROM links QUALIFY p <> min(p) OVER (PARTITION BY v)",
     "p4_all_descendants": f"""WITH RECURSIVE {_TREE},
 pairs AS (
   SELECT p AS vid, v AS descendant_vid, CAST(1 AS BIGINT) AS levels FROM links WHERE v IN (SELECT v FROM walk)

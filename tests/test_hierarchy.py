@@ -71,3 +71,29 @@ def test_deep_chain_and_empty(spark):
     assert got == {i: i for i in range(n + 1)}
     assert rows(build(spark, [])) == []
     assert rows(build(spark, [(None, 1), (1, None)])) == []
+
+
+def test_siblings_are_in_the_order_of_their_ids_however_many(spark, monkeypatch):
+    links = [(0, i) for i in range(1, 40)] + [(7, 100 + i) for i in range(30)] + [(-5, -6)]
+    whole = {r["vid"]: (r["lft"], r["rgt"]) for r in build(spark, links).collect()}
+    monkeypatch.setattr(H, "SIBLINGS_PER_BUCKET", 4)
+    assert {r["vid"]: (r["lft"], r["rgt"]) for r in build(spark, links).collect()} == whole
+    assert [v for v, _ in sorted(((v, x) for v, x in whole.items() if 1 <= v < 40), key=lambda t: t[1])] == list(range(1, 40))
+
+
+def test_other_parents_are_reported(spark):
+    links = [(1, 2), (3, 2), (3, 2), (5, 2), (2, 4), (9, 9), (8, 9), (None, 2)]
+    df = spark.createDataFrame(links, "p bigint, v bigint")
+    tree = H.hierarchy(df, F.col("p"), F.col("v"))
+    assert rows(H.other_parents(df, F.col("p"), F.col("v"), tree)) == [(2, 3), (2, 5), (9, 9)]
+    assert {r["vid"] for r in tree.filter("several").collect()} == {2, 9}
+
+
+def test_range_blocks_find_every_descendant_once(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(max(0, i - 7), i), i) for i in range(1, 150)] + [(1000 + i, 1001 + i) for i in range(70)] + [(-3, -2), (300, 301), (301, 300)]
+    tree = build(spark, links)
+    heads = [v for v in range(0, 150, 2)] + [1000, 1001, 1033, 1070, -3, 300, 77777]
+    got = rows(H.descendants(tree, spark.createDataFrame([(v,) for v in heads + heads], "vid bigint")))
+    assert got == [r for r in rows(H.descendants(tree)) if r[0] in heads] and len(got) > 1000
+    assert rows(H.descendants(tree, spark.createDataFrame([], "vid bigint"))) == []
