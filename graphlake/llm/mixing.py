@@ -9,8 +9,10 @@ draw, down to single shards, so the quotas are exact at every level and any
 branch can be drawn alone. Each shard then takes the next disjoint blocks of
 each source and is shuffled within itself.
 
-The driver only sees totals of sources and of blocks. The number of blocks is
-held to ``MAX_BLOCKS`` by their size, whatever the corpus.
+The driver only sees totals of sources and of blocks. Blocks are as large as
+it takes to draw about ``MAX_BLOCKS`` of them with all repeats, and a block
+that a shard takes in several passes is one row with a number. Shards are as
+many as the drawn tokens need.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from graphlake.storage import Rounds
 
 #: Words, numbers, marks and blanks as the byte-level vocabularies split them.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Blocks of all sources together, about; and the tokens a block has at least.
-MAX_BLOCKS = 20_000
+#: Blocks drawn from all sources together, about; and the tokens a block has at least.
+MAX_BLOCKS = 40_000
 MIN_BLOCK_TOKENS = 4_096
+#: Tokens of a shard, about, and the blocks that it has at least on average.
+SHARD_TOKENS = 1_000_000
+BLOCKS_PER_SHARD = 20
 #: Sources that a mixture may name.
 MAX_SOURCES = 10_000
 
@@ -110,7 +115,7 @@ def split_blocks(counts: Sequence[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int = 16, seed: int = 17) -> DataFrame:
+def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int | None = None, seed: int = 17) -> DataFrame:
     """(doc_id, source, pass, n_tokens, shard, order_key): one row per drawn page and pass, passes from 1.
 
     ``counts`` comes from ``token_counts``, ``targets`` has source,
@@ -118,8 +123,9 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     Pages of a null or unnamed source, and pages without tokens, are not
     drawn. A page is drawn at most max_repeats times. A source misses its
     quota by less than its largest page in the last pass. A doc_id that comes
-    twice counts as two pages. Empty tables give no rows. The same seed gives
-    the same mixture.
+    twice counts as two pages. Without ``shards`` there is one for about each
+    ``SHARD_TOKENS`` drawn tokens. Empty tables give no rows. The same seed
+    gives the same mixture.
     """
     spark = counts.sparkSession
     store = Rounds(spark, "mixing")
@@ -132,40 +138,76 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     totals = {r["s"]: r["t"] for r in pages.groupBy("s").agg(F.sum("n_tokens").alias("t")).collect()}
     plan = quotas(totals, wanted, total_tokens)
     names = {r["s"]: r["name"] for r in rows}
-    schema = "s string, b int, source string, pass int, shard int, rest bigint"
-    size = max(MIN_BLOCK_TOKENS, -(-sum(totals.values()) // MAX_BLOCKS))
+    drawn = sum(q.passes * totals[q.source] + q.rest for q in plan)
+    if shards is None:
+        shards = max(1, min(-(-drawn // SHARD_TOKENS), MAX_BLOCKS // (BLOCKS_PER_SHARD * max(1, len(plan) // BLOCKS_PER_SHARD))))
+    size = max(MIN_BLOCK_TOKENS, -(-drawn // MAX_BLOCKS))
     n_blocks = {q.source: -(-totals[q.source] // size) for q in plan}
     sizes = spark.createDataFrame([(q.source, n_blocks[q.source]) for q in plan] or [("", 1)], "s string, nb bigint")
     spread = pages.join(F.broadcast(sizes), "s").withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("nb")).cast("int")).drop("nb")
     blocks: dict[str, dict[int, int]] = {}
     for r in spread.groupBy("s", "b").agg(F.sum("n_tokens").alias("t")).collect():  # about MAX_BLOCKS rows
         blocks.setdefault(r["s"], {})[r["b"]] = r["t"]
-    draws = [_draws(q, blocks.get(q.source, {}), seed, i) for i, q in enumerate(plan)]
+    draws = [_Draws(q, blocks.get(q.source, {}), seed, i) for i, q in enumerate(plan)]
     share = split_blocks([len(d) for d in draws], shards, seed)
-    table = []
-    for i, q in enumerate(plan):
-        at = 0
-        for shard in range(shards):
-            table += [(q.source, b, names[q.source], n, shard, rest) for b, n, rest in draws[i][at : at + share[shard, i]]]
-            at += share[shard, i]
+    table = [(q.source, b, names[q.source], first, times, shard, rest) for i, q in enumerate(plan) for shard, at, n in _segments(share[:, i]) for b, first, times, rest in draws[i].taken(at, n)]
+    schema = "s string, b int, source string, first int, times int, shard int, rest bigint"
     taken = spread.join(F.broadcast(spark.createDataFrame(table, schema)), ["s", "b"])
-    return _cut(taken, seed).select("doc_id", "source", "pass", "n_tokens", "shard", F.xxhash64("doc_id", "pass", F.lit(seed + 1)).alias("order_key"))
-
-
-def _draws(q: Quota, blocks: dict[int, int], seed: int, i: int) -> list[tuple[int, int, int | None]]:
-    """(block, pass, tokens to take of it or None for all) in the order in which they are drawn."""
-    rng = np.random.default_rng([seed, 1, i])
-    ids = np.array(sorted(blocks), dtype=np.int64)
-    out: list[tuple[int, int, int | None]] = []
-    for n in range(1, q.passes + 1):
-        out += [(int(b), n, None) for b in rng.permutation(ids)]
-    left = q.rest
-    for b in rng.permutation(ids):
-        if left <= 0:
-            break
-        out.append((int(b), q.passes + 1, None if blocks[int(b)] <= left else left))
-        left -= blocks[int(b)]
-    return out
+    each = taken.withColumn("pass", F.explode(F.sequence("first", F.col("first") + F.col("times") - 1))).drop("first", "times")
+    return _cut(each, seed).select("doc_id", "source", "pass", "n_tokens", "shard", F.xxhash64("doc_id", "pass", F.lit(seed + 1)).alias("order_key"))
+
+
+def _segments(counts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, first draw, number of draws) of the shards that draw anything."""
+    ends = np.cumsum(counts)
+    for shard in np.flatnonzero(counts):
+        yield int(shard), int(ends[shard] - counts[shard]), int(counts[shard])
+
+
+class _Draws:
+    """The draws of a source in their order: all blocks once a pass, permuted, then some of them once more up to the quota."""
+
+    def __init__(self, q: Quota, blocks: dict[int, int], seed: int, i: int):
+        self.ids = np.array(sorted(blocks), dtype=np.int64)
+        self.passes, self.seed = q.passes if len(self.ids) else 0, (seed, 1, i)
+        self.last: list[tuple[int, int | None]] = []  # of the last pass: block and the tokens to take of it, None for all
+        left = q.rest
+        for b in self._order(q.passes):
+            if left <= 0:
+                break
+            self.last.append((int(b), None if blocks[int(b)] <= left else left))
+            left -= blocks[int(b)]
+
+    def _order(self, n: int) -> np.ndarray:
+        """The blocks as pass ``n``, from 0, draws them; any pass can be drawn alone."""
+        return np.random.default_rng([*self.seed, n]).permutation(self.ids)
+
+    def __len__(self) -> int:
+        return self.passes * len(self.ids) + len(self.last)
+
+    def taken(self, at: int, n: int) -> list[tuple[int, int, int, int | None]]:
+        """(block, first pass from 1, number of passes, tokens to take or None) of ``n`` draws from ``at`` on.
+
+        A block is drawn once a pass, so its passes within a segment of draws are in a row.
+        """
+        k, whole, end = len(self.ids), self.passes * len(self.ids), at + n
+        out: dict[int, list[int]] = {}
+        stop = min(end, whole)
+        if at < stop:
+            p0, p1 = at // k, (stop - 1) // k
+            for b in self._order(p0)[at - p0 * k : stop - p0 * k]:
+                out[int(b)] = [p0 + 1, 1]
+            if p1 > p0:
+                between = p1 - p0 - 1
+                if between:
+                    for b in self.ids:
+                        got = out.setdefault(int(b), [p0 + 2, 0])
+                        got[1] += between
+                for b in self._order(p1)[: stop - p1 * k]:
+                    got = out.setdefault(int(b), [p1 + 1, 0])
+                    got[1] += 1
+        part = self.last[max(at - whole, 0) : max(end - whole, 0)]
+        return [(b, first, times, None) for b, (first, times) in out.items()] + [(b, self.passes + 1, 1, rest) for b, rest in part]
 
 
 def _cut(taken: DataFrame, seed: int) -> DataFrame:
@@ -176,9 +218,11 @@ def _cut(taken: DataFrame, seed: int) -> DataFrame:
     return whole.unionByName(part.withColumn("upto", F.sum("n_tokens").over(order)).filter(F.col("upto") <= F.col("rest")).drop("upto", "rest"))
 
 
-def shuffled_shards(selection: DataFrame, shards: int = 16) -> DataFrame:
-    """The selection with each shard in one partition, in its own random order; sorts spill."""
-    return selection.repartition(shards, "shard").sortWithinPartitions("shard", "order_key")
+def shuffled_shards(selection: DataFrame, shards: int | None = None) -> DataFrame:
+    """The selection with shard i in partition i, in its own random order; sorts spill. ``shards`` is looked up if not given."""
+    if shards is None:
+        shards = (selection.agg(F.max("shard")).first()[0] or 0) + 1
+    return selection.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("order_key", "doc_id")
 
 
 def mixture_shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
@@ -192,5 +236,12 @@ def mixture_shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def default_vocabulary(spark: SparkSession) -> str:
-    """The file named by ``graphlake.tokenizer`` in the session, or the public byte-level vocabulary."""
-    return spark.conf.get("graphlake.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    """The file named by ``graphlake.tokenizer`` in the session, else the byte-level vocabulary of the installed tokenizer files."""
+    path = spark.conf.get("graphlake.tokenizer", None)
+    if path:
+        return path
+    try:
+        import public_tokenizers
+    except ImportError:
+        raise ValueError("set graphlake.tokenizer to the file of a byte-level vocabulary") from None
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")

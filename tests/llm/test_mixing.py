@@ -76,3 +76,32 @@ def test_token_counts(spark):
     d = spark.createDataFrame([(1, "Hello world, hello!", "s", 9), (2, None, None, 9), (3, "", "s", 9), (4, "<|endoftext|>", "s", 9)], "doc_id bigint, text string, source string, n_tokens int")
     got = {r["doc_id"]: r["n_tokens"] for r in M.token_counts(d, M.default_vocabulary(spark)).collect()}
     assert got[2] == got[3] == 0 and got[1] == 5 and got[4] > 1
+
+
+def test_draws_of_a_segment_match_the_draws_one_by_one():
+    q = M.Quota("a", 1.0, 5, 25)
+    d = M._Draws(q, {b: 10 for b in (2, 3, 5, 7)}, 1, 0)
+    one = [d.taken(k, 1)[0] for k in range(len(d))]
+    assert len(d) == 23 and [r for _, _, _, r in one[20:]] == [None, None, 5]
+    for at in range(len(d)):
+        for n in range(1, len(d) - at + 1):
+            got = sorted((b, first + k) for b, first, times, _ in d.taken(at, n) for k in range(times))
+            assert got == sorted((b, first) for b, first, _, _ in one[at : at + n]), (at, n)
+
+
+def test_many_repeats_are_a_number_and_not_rows():
+    d = M._Draws(M.Quota("a", 1.0, 1_000_000, 0), {0: 5, 1: 5}, 1, 0)
+    assert d.taken(1, 1_999_998) == d.taken(1, 1_999_998) and sum(t for _, _, t, _ in d.taken(1, 1_999_998)) == 1_999_998
+    assert len(d.taken(1, 1_999_998)) == 2
+
+
+def test_every_partition_holds_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_TOKENS", 700)
+    monkeypatch.setattr(M, "MIN_BLOCK_TOKENS", 50)
+    c = counts(spark, [("a", [10] * 700), ("b", [10] * 300)])
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], TARGETS)
+    sel = M.mix(c, t)
+    n = sel.agg(F.max("shard")).first()[0] + 1
+    assert n >= 15
+    where = M.shuffled_shards(sel).withColumn("p", F.spark_partition_id()).select("shard", "p").distinct().collect()
+    assert len(where) == n and all(r["shard"] == r["p"] for r in where)
