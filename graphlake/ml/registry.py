@@ -11,33 +11,23 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed category codes: below 100 dense networks, below 200 tree ensembles, from 200 on graph models.
-CATEGORIES = {
-    "sequential": 0,
-    "linear_regression": 1,
-    "logistic_regression": 2,
-    "neural_network_classifier": 3,
-    "neural_network_regressor": 4,
-    "random_forest_classifier": 100,
-    "random_forest_regressor": 101,
-    "boosting_tree_classifier": 102,
-    "boosting_tree_regressor": 103,
-    "full_gcn": 200,
-    "sampled_gcn": 201,
-    "supervised_sage": 202,
-    "unsupervised_sage": 203,
-    "deepwalk": 204,
-    "line": 205,
-}
-
-_SCHEMA = "model_id string, category int, parent_id string, train_table string, x_columns string, y_column string, definition string, params string, metrics string, save_path string, log_table string, created_at string"
+#: Kinds of models by family.
+NETWORKS = ("sequential", "neural_network_classifier", "neural_network_regressor")
+TREES = ("random_forest_classifier", "random_forest_regressor", "boosting_tree_classifier", "boosting_tree_regressor")
+LINEAR = ("linear_regression", "logistic_regression")
+GRAPHS = ("full_gcn", "sampled_gcn", "supervised_sage", "unsupervised_sage", "deepwalk", "line")
+KINDS = (*NETWORKS, *LINEAR, *TREES, *GRAPHS)
+#: Kinds whose prediction is a number and not a class.
+REGRESSORS = ("linear_regression", "neural_network_regressor", "random_forest_regressor", "boosting_tree_regressor")
+
+_SCHEMA = "model_id string, category string, parent_id string, train_table string, x_columns string, y_column string, definition string, params string, metrics string, save_path string, log_table string, created_at string"
 
 
 @dataclass
 class ModelInfo:
     """What the registry knows of a model; lists and dictionaries are kept as JSON text."""
 
-    category: int
+    category: str
     x_columns: list[str]
     y_column: str | None = None
     definition: Any = None
@@ -65,6 +55,8 @@ class ModelRegistry:
 
     def write(self, info: ModelInfo, history: list[dict] | None = None) -> str:
         """Store a model's entry and the log of its training; its id."""
+        if info.category not in KINDS:
+            raise ValueError(f"kind of model {info.category}; there are {', '.join(KINDS)}")
         info.save_path, info.log_table = self.save_path(info.model_id), self.log_path(info.model_id)
         info.created_at = datetime.now(UTC).isoformat()
         row = {k: json.dumps(v) if k in ("x_columns", "definition", "params", "metrics") else v for k, v in asdict(info).items()}

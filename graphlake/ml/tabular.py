@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.ml.mlp import Network, doubles, evaluate_network, predict_network, train_network
-from graphlake.ml.registry import CATEGORIES, ModelInfo, ModelRegistry
+from graphlake.ml.registry import NETWORKS, REGRESSORS, ModelInfo, ModelRegistry
 
 #: Layers of a network when none are given.
 DEFAULT_LAYERS = [("dense", "units=32,activation=tanh"), ("dense", "units=64,activation=tanh"), ("dense", "units=64,activation=tanh"), ("dense", "units=1")]
@@ -61,14 +61,13 @@ class Tables:
         info = self.registry.info(model_id)
         net = self._network(model_id)
         p = {**info.params, **changed}
-        category = next(k for k, v in CATEGORIES.items() if v == info.category)
-        return self._fit(net, table, x or info.x_columns, y or info.y_column, info.definition, p["optimizer"], p["rate"], p["epochs"], p["batch_size"], {float(k): v for k, v in (p["class_weight"] or {}).items()} or None, p["valid_share"], category, model_id, p["passes"])
+        return self._fit(net, table, x or info.x_columns, y or info.y_column, info.definition, p["optimizer"], p["rate"], p["epochs"], p["batch_size"], {float(k): v for k, v in (p["class_weight"] or {}).items()} or None, p["valid_share"], info.category, model_id, p["passes"])
 
     def _fit(self, net, table, x, y, definition, optimizer, rate, epochs, batch_size, class_weight, valid_share, category, parent, passes) -> str:
         train, valid = split(_clean(table, x, y), [*x, "label"], valid_share)
         history = train_network(net, train, x, "label", epochs, batch_size, optimizer, rate, class_weight, valid if valid_share else None, passes)
         params = {"optimizer": optimizer, "rate": rate, "epochs": epochs, "batch_size": batch_size, "class_weight": class_weight, "valid_share": valid_share, "passes": passes}
-        info = ModelInfo(CATEGORIES[category], list(x), y, [list(d) for d in definition], params, history[-1] if history else {}, parent_id=parent)
+        info = ModelInfo(category, list(x), y, [list(d) for d in definition], params, history[-1] if history else {}, parent_id=parent)
         self.registry.write(info, history)
         self.registry.spark.createDataFrame([(bytearray(pickle.dumps(net)),)], "network binary").write.mode("overwrite").parquet(info.save_path)
         return info.model_id
@@ -96,7 +95,7 @@ class Tables:
         model = Pipeline(stages=[VectorAssembler(inputCols=list(x), outputCol="features"), estimator]).fit(data)
         last = model.stages[-1]
         history = [{"loss": float(v)} for v in last.summary.objectiveHistory] if getattr(last, "hasSummary", False) and last.summary.objectiveHistory else []
-        info = ModelInfo(CATEGORIES[category], list(x), y, None, {"class_weight": weights}, history[-1] if history else {})
+        info = ModelInfo(category, list(x), y, None, {"class_weight": weights}, history[-1] if history else {})
         self.registry.write(info, history)
         model.write().overwrite().save(info.save_path)
         return info.model_id
@@ -139,33 +138,35 @@ class Tables:
     # prediction and evaluation
 
     def predict(self, model_id: str, table: DataFrame, id_column: str, result_type: str = "class") -> DataFrame:
-        """(id, predict): id as text; a class, a number, or with result_type 'probability' an array of scores."""
+        """(id, predict): id as text; a class, a number, or with result_type 'probability' an array of scores; null where an input is null."""
         info = self.registry.info(model_id)
         key = F.col(id_column).cast("string").alias("id")
-        regression = info.category in (CATEGORIES["linear_regression"], CATEGORIES["neural_network_regressor"], CATEGORIES["random_forest_regressor"], CATEGORIES["boosting_tree_regressor"])
-        if info.category in (CATEGORIES["sequential"], CATEGORIES["neural_network_classifier"], CATEGORIES["neural_network_regressor"]):
+        regression = info.category in REGRESSORS
+        if info.category in NETWORKS:
             out = predict_network(self._network(model_id), table.select(key, *info.x_columns), info.x_columns, ["id"])
             if result_type == "probability":
                 return out.select("id", F.col("scores").alias("predict"))
             best = F.array_position("scores", F.array_max("scores")) - 1
-            return out.select("id", F.when(F.size("scores") == 1, F.col("scores")[0]).otherwise(best.cast("double")).alias("predict")) if regression or info.category == 0 else out.select("id", best.cast("int").alias("predict"))
-        rows = table.select(key, *doubles(table, info.x_columns)).na.drop()
+            return out.select("id", F.when(F.size("scores") == 1, F.col("scores")[0]).otherwise(best.cast("double")).alias("predict")) if regression or info.category == "sequential" else out.select("id", best.cast("int").alias("predict"))
+        # a row with a null has no prediction, whatever the kind of model
+        values = doubles(table, info.x_columns)
+        rows = table.select(key, *values).withColumn("_whole", ~F.greatest(*(F.col(c).isNull() for c in info.x_columns), F.lit(False))).na.fill(0.0, list(info.x_columns))
         out = PipelineModel.load(self.registry.save_path(model_id)).transform(rows)
         if result_type == "probability" and "probability" in out.columns:
-            return out.select("id", vector_to_array("probability").alias("predict"))
-        return out.select("id", F.col("prediction").cast("double" if regression else "int").alias("predict"))
+            return out.select("id", F.when(F.col("_whole"), vector_to_array("probability")).alias("predict"))
+        return out.select("id", F.when(F.col("_whole"), F.col("prediction").cast("double" if regression else "int")).alias("predict"))
 
     def evaluate(self, model_id: str, table: DataFrame, y: str | None = None, metrics: Sequence[str] = ()) -> list[float]:
         """Values of the metrics over all rows; by default accuracy of classifiers and the root of the mean square of regressors."""
         info = self.registry.info(model_id)
         y = y or info.y_column
-        if info.category in (CATEGORIES["sequential"], CATEGORIES["neural_network_classifier"], CATEGORIES["neural_network_regressor"]):
+        if info.category in NETWORKS:
             return evaluate_network(self._network(model_id), table, info.x_columns, y, list(metrics) or ["loss"])
         rows = _clean(table, info.x_columns, y)
         out = PipelineModel.load(self.registry.save_path(model_id)).transform(rows)
         d = F.col("prediction") - F.col("label")
         known = {"accuracy": F.avg((d == 0).cast("double")), "error": F.avg((d != 0).cast("double")), "mse": F.avg(d * d), "rmse": F.sqrt(F.avg(d * d)), "mae": F.avg(F.abs(d))}
-        regression = info.category in (CATEGORIES["linear_regression"], CATEGORIES["random_forest_regressor"], CATEGORIES["boosting_tree_regressor"])
+        regression = info.category in REGRESSORS
         names = list(metrics) or ["rmse" if regression else "accuracy"]
         row = out.agg(*(known[m].alias(m) for m in names)).first()
         return [float(row[m]) for m in names]
