@@ -361,8 +361,8 @@ def train_network(net: Network, rows: DataFrame, x_columns: Sequence[str], y_col
     return history
 
 
-def predict_network(net: Network, rows: DataFrame, x_columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """The kept columns with ``scores``, the outputs as an array; null where an input is null."""
+def predict_network(net: Network, rows: DataFrame, x_columns: Sequence[str], keep: Sequence[str], embed: bool = False) -> DataFrame:
+    """The kept columns with ``scores``, the outputs (or the vectors before them) as an array; null where an input is null."""
     blob, names = pickle.dumps(net), list(keep)
     src = rows.select(*names, F.array(*(F.col(c).cast("double") for c in x_columns)).alias("_x"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
@@ -373,7 +373,7 @@ def predict_network(net: Network, rows: DataFrame, x_columns: Sequence[str], kee
             if not len(pdf):
                 continue
             x = np.stack([np.asarray(v, dtype=float) for v in pdf["_x"]])
-            out, _ = m.forward(np.nan_to_num(x))
+            out = m.embed(np.nan_to_num(x)) if embed else m.forward(np.nan_to_num(x))[0]
             bad = np.isnan(x).any(axis=1)
             yield pdf[names].assign(scores=[None if b else o.tolist() for o, b in zip(out, bad, strict=True)])
 

@@ -63,10 +63,10 @@ class Tables:
         p = {**info.params, **changed}
         return self._fit(net, table, x or info.x_columns, y or info.y_column, info.definition, p["optimizer"], p["rate"], p["epochs"], p["batch_size"], {float(k): v for k, v in (p["class_weight"] or {}).items()} or None, p["valid_share"], info.category, model_id, p["passes"])
 
-    def _fit(self, net, table, x, y, definition, optimizer, rate, epochs, batch_size, class_weight, valid_share, category, parent, passes) -> str:
+    def _fit(self, net, table, x, y, definition, optimizer, rate, epochs, batch_size, class_weight, valid_share, category, parent, passes, extra: dict | None = None) -> str:
         train, valid = split(_clean(table, x, y), [*x, "label"], valid_share)
         history = train_network(net, train, x, "label", epochs, batch_size, optimizer, rate, class_weight, valid if valid_share else None, passes)
-        params = {"optimizer": optimizer, "rate": rate, "epochs": epochs, "batch_size": batch_size, "class_weight": class_weight, "valid_share": valid_share, "passes": passes}
+        params = {"optimizer": optimizer, "rate": rate, "epochs": epochs, "batch_size": batch_size, "class_weight": class_weight, "valid_share": valid_share, "passes": passes, **(extra or {})}
         info = ModelInfo(category, list(x), y, [list(d) for d in definition], params, history[-1] if history else {}, parent_id=parent)
         self.registry.write(info, history)
         self.registry.spark.createDataFrame([(bytearray(pickle.dumps(net)),)], "network binary").write.mode("overwrite").parquet(info.save_path)

@@ -98,15 +98,39 @@ def _shop(spark, d) -> PropertyGraph:
 _TYPES = {"vertex_type": "vt", "edge_type": "et"}
 
 
+def _busy(spark, d) -> tuple[PropertyGraph, DataFrame]:
+    """The shop with 1 as label of the customers whose orders are worth more than half of all customers' orders are: nothing of it stands at the customer."""
+    g = _shop(spark, d)
+    o = read_table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_totalprice").alias("worth"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"))
+    vertices = g.vertices.join(o.select("id", "worth"), "id", "left")
+    spent = o.groupBy(F.col("customer").alias("id")).agg(F.avg("worth").alias("spent"))
+    half = spent.agg(F.percentile_approx("spent", 0.5, 10_000)).first()[0] or 0.0
+    return PropertyGraph(g.edges, vertices), spent.select("id", (F.col("spent") > half).cast("int").alias("label"))
+
+
+def _graph_model(spark, d, kind: str, **how):
+    g, labels = _busy(spark, d)
+    models = gnn.GraphModels(_models(spark))
+    train = getattr(models, f"train_{kind}")
+    return g, labels, models, train(g, labels, ["worth", "size"], ["(1)-[1]->(2)"], **_TYPES, **how)
+
+
 @_register
 def sage_predict(spark, d):
-    """Segments of customers from what their orders contain."""
-    g, t = _shop(spark, d), _models(spark)
-    labels = read_table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), (F.pmod(F.xxhash64("c_mktsegment"), F.lit(2))).alias("label"))
-    how = {"k": 5, "weight": "quantity", **_TYPES}
-    model = gnn.GraphModels(t).train_supervised_sage(g, labels, ["size", "code"], ["(1)-[1]->(2)-[2]->(3)"], epochs=2, **how)
-    rows, _ = gnn.propagate(g, ["size", "code"], ["(1)-[1]->(2)-[2]->(3)"], **how)
-    return t.predict(model, rows, "id")
+    """Whether customers spend much, from what their orders are worth."""
+    g, _, models, m = _graph_model(spark, d, "supervised_sage", k=16, epochs=6, batch_size=32, rate=0.02)
+    return models.predict(m, g)
+
+
+@_register
+def graph_models_learn_from_neighbours(spark, d):
+    """Whether each graph network tells spenders better than chance, which nothing at the customer itself does."""
+    rows = []
+    for kind, how in (("full_gcn", {}), ("sampled_gcn", {"k": 16}), ("supervised_sage", {"k": 16})):
+        g, labels, models, m = _graph_model(spark, d, kind, epochs=8, batch_size=32, rate=0.02, **how)
+        info = models.tables.registry.info(m)
+        rows.append((info.category, models.evaluate(m, g, labels, metrics=["accuracy"])[0] > 0.8))
+    return spark.createDataFrame(rows, "model string, learned boolean")
 
 
 @_register
