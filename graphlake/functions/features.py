@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlake.operators.skew import running_totals
+from graphlake.storage import Rounds
+
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """(value, freq): how often each value stands in a column; null is a value."""
@@ -37,19 +40,14 @@ def top_n_values(df: DataFrame, column: str, n: int) -> list:
 def top_percent(df: DataFrame, column: str, percent: float) -> DataFrame:
     """(rank, value, freq): the shortest list of most frequent values that covers more than ``percent`` of the rows.
 
-    Frequencies are folded to one row a value first and summed by frequency,
-    so that only different frequencies meet in one window: values of one
-    frequency are numbered apart.
+    Frequencies are folded to one row a value first. Values are numbered by
+    their place in the order of frequency and value, over cuts of that order,
+    so that very many values of one frequency do not meet in one task.
     """
-    freq = frequencies(df, column)
-    classes = freq.groupBy("freq").agg(F.count(F.lit(1)).alias("m"))
-    down = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = classes.select("freq", F.coalesce(F.sum(F.col("freq") * F.col("m")).over(down), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("m").over(down), F.lit(0)).alias("values_before"))
-    total = freq.agg(F.sum("freq").alias("total"))
-    inside = F.row_number().over(Window.partitionBy("freq").orderBy(F.asc_nulls_last("value")))
-    placed = freq.join(F.broadcast(starts), "freq").join(F.broadcast(total)).withColumn("i", inside)
-    before = F.col("rows_before") + (F.col("i") - 1) * F.col("freq")
-    return placed.filter(before <= F.col("total") * F.lit(percent)).select((F.col("values_before") + F.col("i")).cast("bigint").alias("rank"), "value", "freq")
+    store = Rounds(df.sparkSession, "top-percent")
+    freq, seen = store.write(frequencies(df, column).withColumn("_less", -F.col("freq")), n=F.count(F.lit(1)), total=F.sum("freq"))
+    placed = running_totals(store, freq, ["_less", "value"], {"_rows": F.col("freq"), "_values": F.lit(1)}, seen["n"])
+    return placed.filter(F.col("_rows") <= (seen["total"] or 0) * percent).select((F.col("_values") + 1).cast("bigint").alias("rank"), "value", "freq")
 
 
 def binarize(x: Column, threshold: float, positive: float = 1, negative: float = 0) -> Column:

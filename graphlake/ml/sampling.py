@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphlake.operators.graph import PropertyGraph
 from graphlake.operators.metapath import parse_sample_path
+from graphlake.operators.skew import running_totals
 from graphlake.storage import Rounds
 
 
@@ -38,7 +39,8 @@ def random_neighbours(graph: PropertyGraph, k: int, seed: int, weight: str | Non
     With a weight, edges come with probability in proportion to it: the
     smallest of -ln(u) / w win. Edges of weight 0 or less never come.
     """
-    edges = graph.edges.withColumn("_n", F.monotonically_increasing_id()) if "eid" not in graph.edges.columns else graph.edges.withColumn("_n", F.col("eid"))
+    # without an id the whole row tells edges apart, so that a lost task draws the same again; equal rows are drawn together
+    edges = graph.edges.withColumn("_n", F.xxhash64(*graph.edges.columns) if "eid" not in graph.edges.columns else F.col("eid"))
     u = uniform("src_id", "dst_id", "_n", seed=seed)
     key = u if weight is None else -F.ln(u) / F.col(weight)
     edges = edges if weight is None else edges.filter(F.col(weight) > 0)
@@ -67,20 +69,31 @@ def negative_samples(graph: PropertyGraph, per_source: int, seed: int, by_in_deg
 def random_walks(graph: PropertyGraph, length: int, seed: int, weight: str | None = None, starts: DataFrame | None = None) -> DataFrame:
     """(walk): a walk of up to ``length`` edges from each start, by default every vertex; it ends early at a leaf.
 
-    Each edge owns a span of its source's line, built once by running totals;
-    a step draws a place on the line and joins the edge whose span holds it.
+    Each edge owns a span of its source's line, which is cut into as many even
+    boxes as the source has neighbours; a step draws a place on the line and
+    joins the edges in its box by equality. An edge lies in few boxes, so
+    neither a hub's line nor its walkers meet in one task or multiply.
     """
     store = Rounds(graph.edges.sparkSession, "walks")
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    e = graph.edges.select("src_id", "dst_id", w.alias("w")).filter("w > 0").groupBy("src_id", "dst_id").agg(F.sum("w").alias("w"))
-    order = Window.partitionBy("src_id").orderBy("dst_id")
-    spans = e.select("src_id", "dst_id", (F.sum("w").over(order) - F.col("w")).alias("lo"), F.sum("w").over(order).alias("hi"))
-    spans, _ = store.write(spans.join(e.groupBy("src_id").agg(F.sum("w").alias("t")), "src_id").select("src_id", "dst_id", (F.col("lo") / F.col("t")).alias("lo"), (F.col("hi") / F.col("t")).alias("hi")))
+    e, seen = store.write(graph.edges.select("src_id", "dst_id", w.alias("w")).filter("w > 0").groupBy("src_id", "dst_id").agg(F.sum("w").alias("w")), n=F.count(F.lit(1)))
+    runs, _ = store.write(running_totals(store, e, ["src_id", "dst_id"], {"at": F.col("w")}, seen["n"]))
+    ends = runs.groupBy("src_id").agg(F.min("at").alias("first"), F.max(F.col("at") + F.col("w")).alias("last"), F.count(F.lit(1)).alias("deg"))
+    ends, _ = store.write(ends)
+    long = F.col("last") - F.col("first")
+    spans = runs.join(ends, "src_id").select("src_id", "dst_id", "deg", ((F.col("at") - F.col("first")) / long).alias("lo"), ((F.col("at") + F.col("w") - F.col("first")) / long).alias("hi"))
+    top = F.col("deg") - 1
+    box = lambda x: F.least(F.floor(x * F.col("deg")), top)
+    spans, _ = store.write(spans.select("src_id", "dst_id", "lo", "hi", F.explode(F.sequence(box(F.col("lo")), box(F.col("hi")))).alias("box")))
+    degrees = ends.select(F.col("src_id").alias("tail"), "deg")
     ids = starts.select("id") if starts is not None else graph.vertex_ids()
     state = ids.select(F.col("id").alias("start"), F.array("id").alias("walk"), F.col("id").alias("tail"))
     for step in range(length):
         u = uniform("start", "tail", F.lit(step), seed=seed)
-        grown = state.withColumn("u", u).join(spans, (F.col("tail") == F.col("src_id")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")), "left")
+        drawn = state.join(degrees, "tail", "left").withColumn("u", u)
+        there = drawn.withColumn("at_box", F.least(F.floor(F.col("u") * F.col("deg")), F.col("deg") - 1))
+        met = (F.col("tail") == F.col("src_id")) & (F.col("at_box") == F.col("box")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))
+        grown = there.join(spans, met, "left")
         state = grown.select("start", F.when(F.col("dst_id").isNull(), F.col("walk")).otherwise(F.concat("walk", F.array("dst_id"))).alias("walk"), F.col("dst_id").alias("tail"))
     return state.select("walk")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.operators.graph import PropertyGraph
-from graphlake.operators.traversal import _Found
+from graphlake.operators.traversal import FOLD_EVERY, _Found, _union
 from graphlake.storage import Rounds
 
 
@@ -25,28 +25,44 @@ def topo_sorting(graph: PropertyGraph, max_loop: int = 10_000) -> DataFrame:
 
 
 def _peel(graph: PropertyGraph, max_loop: int) -> tuple[DataFrame, int]:
-    """((id, wave) of the vertices that no cycle leads to, number of the others)."""
+    """((id, wave) of the vertices that no cycle leads to, number of the others).
+
+    A wave writes only the vertices that it meets, with the in-edges it has
+    used up; what a vertex needs is written once. The parts of a vertex that is
+    met in several waves are added up when they are folded.
+    """
     store = Rounds(graph.edges.sparkSession, "peel")
     links, _ = store.write(graph.links().groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("k")))
     need = links.groupBy(F.col("dst_id").alias("id")).agg(F.sum("k").alias("need"))
-    open_, seen = store.write(graph.vertex_ids().join(need, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need")), n=F.count(F.lit(1)))
-    found = _Found(store)
+    need, seen = store.write(graph.vertex_ids().join(need, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need")), n=F.count(F.lit(1)))
     total, wave = seen["n"], 1
-    front, seen = store.write(open_.filter("need = 0").select("id", F.lit(1).alias("wave")), n=F.count(F.lit(1)))
+    front, seen = store.write(need.filter("need = 0").select("id", F.lit(1).alias("wave")), n=F.count(F.lit(1)))
+    found, done = _Found(store), seen["n"]
     found.add(front)
-    done = seen["n"]
-    waiting = open_.filter("need > 0")
+    recent: list[DataFrame] = []  # (id, got, wave), wave where the vertex is settled
+    parts: DataFrame | None = None  # (id, got) of unsettled vertices met before those
     while seen["n"] and done < total and wave < max_loop:
         wave += 1
         met = links.join(front.select(F.col("id").alias("src_id")), "src_id", "left_semi").groupBy(F.col("dst_id").alias("id")).agg(F.sum("k").alias("got"))
-        # what is still needed is carried along, only vertices met in this wave change
-        less = waiting.join(met, "id", "left").select("id", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"))
-        written, seen = store.write(less, n=F.count_if(F.col("need") == 0))
-        front = written.filter("need = 0").select("id", F.lit(wave).alias("wave"))
-        found.add(front)
-        waiting = written.filter("need > 0")
+        before = [p for p in [parts, *(r.filter("wave is null").select("id", "got") for r in recent)] if p is not None]
+        whole = met.select("id", F.col("got").alias("now"), "got")
+        if before:
+            earlier = _union(before).join(met.select("id"), "id", "left_semi").select("id", F.lit(0).cast("bigint").alias("now"), "got")
+            whole = whole.unionAll(earlier).groupBy("id").agg(F.sum("now").alias("now"), F.sum("got").alias("got"))
+        written, seen = store.write(whole.join(need, "id").select("id", F.col("now").alias("got"), F.when(F.col("got") == F.col("need"), F.lit(wave)).alias("wave")), n=F.count(F.col("wave")))
+        recent.append(written)
+        front = written.filter("wave is not null").select("id", "wave")
         done += seen["n"]
-    return found.all(), total - done
+        if len(recent) >= FOLD_EVERY:
+            settled, _ = store.write(_union([r.filter("wave is not null").select("id", "wave") for r in recent]))
+            left = _union([p for p in [parts, *(r.filter("wave is null").select("id", "got") for r in recent)] if p is not None])
+            left = left.groupBy("id").agg(F.sum("got").alias("got")).join(settled.select("id"), "id", "left_anti")
+            folded, _ = store.write(left)
+            found.add(settled)
+            front, _ = store.write(front)
+            store.drop(*recent, parts)
+            parts, recent = folded, []
+    return _union([found.all(), *(r.filter("wave is not null").select("id", "wave") for r in recent)]), total - done
 
 
 def cycle_detect_in(graph: PropertyGraph, max_loop: int = 100_000) -> DataFrame:

@@ -19,9 +19,10 @@ range and position meet by equality.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.operators.skew import running_totals
 from graphlake.storage import Rounds
 
 #: Siblings summed in one window task, about.
@@ -97,13 +98,8 @@ def _sibling_offsets(store: Rounds, tree: DataFrame, n: int) -> DataFrame:
     The rows are cut by range of (p, v), so that no task holds all children of
     one parent, and summed within the cuts and over the cuts.
     """
-    cuts = max(1, -(-n // SIBLINGS_PER_BUCKET))
-    kids, _ = store.write(tree.filter(F.col("p").isNotNull()).repartitionByRange(cuts, "p", "v").withColumn("cut", F.spark_partition_id()))
-    order = Window.partitionBy("cut").orderBy("p", "v").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)  # one row a cut
-    starts = kids.groupBy("cut").agg(F.sum("size").alias("total")).select("cut", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("start"))
-    inner = kids.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    placed, _ = store.write(inner.join(F.broadcast(starts), "cut").select("v", "p", "several", "size", (F.col("start") + F.col("before")).alias("own")))
+    kids = tree.filter(F.col("p").isNotNull())
+    placed, _ = store.write(running_totals(store, kids.select("v", "p", "several", "size"), ["p", "v"], {"own": F.col("size")}, n, SIBLINGS_PER_BUCKET))
     base = placed.groupBy(F.col("p").alias("v")).agg(F.min("own").alias("base"))
     roots = tree.filter(F.col("p").isNull()).select("v", "p", "several", "size", F.lit(-1).cast("bigint").alias("own"))
     return placed.unionByName(roots).join(base, "v", "left").select("v", "p", "several", "size", (F.col("own") + 1).alias("own"), F.coalesce("base", F.lit(0)).alias("base"))

@@ -13,9 +13,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlake.storage import Rounds
+
 
 @dataclass(frozen=True)
 class KeyColumn:
@@ -86,3 +88,30 @@ def join_to_keys(rows: DataFrame, keys: DataFrame, key: str, total: int, count:
     hot = F.broadcast(keys.filter(F.col(count) > bound))
     cold = rows.join(F.broadcast(keys.filter(F.col(count) > bound).select(key)), key, "left_anti").join(keys.filter(F.col(count) <= bound), key)
     return rows.join(hot, key).unionByName(cold)
+
+
+#: Rows that one task sorts for a running total, about.
+ROWS_PER_CUT = 100_000
+
+
+def running_totals(store: Rounds, rows: DataFrame, order: Sequence[str], totals: dict[str, Column], n: int, per_cut: int | None = None) -> DataFrame:
+    """``rows`` with the sum of each value of ``totals`` over all rows before it in the order of some columns, nulls last.
+
+    The rows are cut by range of the order, so that no key, however hot, gathers
+    in one task, and summed within the cuts and over the cuts. ``n`` is their
+    number; few rows are one cut and need no table.
+    """
+    by = [F.asc_nulls_last(c) for c in order]
+    cuts = max(1, -(-n // (per_cut or ROWS_PER_CUT)))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    values = rows.select("*", *(v.alias(f"_v_{k}") for k, v in totals.items()))
+    kept = rows.columns
+    if cuts == 1:
+        w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return values.select(*kept, *(before(f"_v_{k}", w).alias(k) for k in totals))
+    parts, _ = store.write(values.repartitionByRange(cuts, *by).withColumn("_cut", F.spark_partition_id()))
+    over = Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)  # one row a cut
+    starts = parts.groupBy("_cut").agg(*(F.sum(f"_v_{k}").alias(k) for k in totals)).select("_cut", *(before(k, over).alias(f"_s_{k}") for k in totals))
+    w = Window.partitionBy("_cut").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inner = parts.select(*kept, "_cut", *(before(f"_v_{k}", w).alias(k) for k in totals))
+    return inner.join(F.broadcast(starts), "_cut").select(*kept, *((F.col(k) + F.col(f"_s_{k}")).alias(k) for k in totals))

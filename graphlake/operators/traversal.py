@@ -23,24 +23,31 @@ HOPS_PER_ROUND = 2
 
 
 class _Found:
-    """The written frontiers of a loop."""
+    """The written frontiers of a loop. Folded tables are folded again when there are many, so a row is rewritten seldom."""
 
     def __init__(self, store: Rounds):
         self.store = store
-        self.parts: list[DataFrame] = []
-
-    def add(self, part: DataFrame) -> None:
-        self.parts.append(part)
-        if len(self.parts) > FOLD_EVERY:
-            whole, _ = self.store.write(self.all())
-            self.store.drop(*self.parts)
-            self.parts = [whole]
+        self.folds: list[list[DataFrame]] = [[]]
+
+    def add(self, part: DataFrame, fold: int = 0) -> None:
+        if fold == len(self.folds):
+            self.folds.append([])
+        self.folds[fold].append(part)
+        if len(self.folds[fold]) > FOLD_EVERY:
+            parts, self.folds[fold] = self.folds[fold], []
+            whole, _ = self.store.write(_union(parts))
+            self.store.drop(*parts)
+            self.add(whole, fold + 1)
 
     def all(self) -> DataFrame:
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return _union([p for parts in reversed(self.folds) for p in parts])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def ids_frame(graph: PropertyGraph, ids: Any) -> DataFrame:

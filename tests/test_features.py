@@ -81,3 +81,25 @@ def test_receptive_field(graph):
     g = PropertyGraph(g.edges.withColumn("etype", F.col("etype").cast("int")), g.vertices)
     assert rows(sampling.receptive_field(g, "(1)-[1]->(2)-[2]->(1)", vertex_type="kind")) == [(1, 2, 4)]
     assert rows(sampling.receptive_field(g, "(1)-[1]->(2)", vertex_type="kind", k=1, weight="weight")) == [(1, 3)]
+
+
+def test_top_percent_over_many_cuts(spark, monkeypatch):
+    from graphlake.operators import skew
+
+    data = [(f"v{i:03d}",) for i in range(90)] + [("v005",)] * 3 + [("v007",)] * 3 + [(None,)]
+    df = spark.createDataFrame(data, "v string")
+    want = rows(P.top_percent(df, "v", 0.8))
+    monkeypatch.setattr(skew, "ROWS_PER_CUT", 7)
+    assert rows(P.top_percent(df, "v", 0.8)) == want and want[:3] == [(1, "v005", 4), (2, "v007", 4), (3, "v000", 1)]
+    assert [r[0] for r in want] == list(range(1, len(want) + 1))
+
+
+def test_walks_follow_weights_through_hubs(spark, graph, monkeypatch):
+    from graphlake.operators import skew
+
+    monkeypatch.setattr(skew, "ROWS_PER_CUT", 9)
+    g = graph([(0, k, "x", 30.0 if k == 5 else 1.0) for k in range(1, 31)] + [(k, 0) for k in range(1, 31)])
+    starts = spark.createDataFrame([(k,) for k in range(1, 31)], "id bigint")
+    walks = [r["walk"] for s in range(6) for r in sampling.random_walks(g, 2, seed=s, weight="weight", starts=starts).collect()]
+    assert all(len(w) == 3 and w[1] == 0 for w in walks)
+    assert 0.35 < sum(w[2] == 5 for w in walks) / len(walks) < 0.67

@@ -197,3 +197,34 @@ def test_partition_scores(spark):
     assert community.nmi(a, a).first()[0] == pytest.approx(1) and community.ari(a, a).first()[0] == pytest.approx(1)
     one = a.select("vid", F.lit(0).alias("cid"))
     assert community.ari(a, one).first()[0] == pytest.approx(0)
+
+
+def test_peel_writes_only_what_a_wave_meets(spark, graph, monkeypatch):
+    from graphlake.operators import traversal
+
+    written = []
+    write = dag.Rounds.write
+
+    def watched(self, df, **metrics):
+        out, seen = write(self, df, **metrics)
+        written.append(out.count())
+        return out, seen
+
+    monkeypatch.setattr(dag, "FOLD_EVERY", 4)
+    monkeypatch.setattr(traversal, "FOLD_EVERY", 3)
+    monkeypatch.setattr(dag.Rounds, "write", watched)
+    n = 40
+    g = graph([(i, i + 1) for i in range(n)] + [(0, n), (3, 20), (3, 20), (100, 101)])
+    assert rows(dag.topo_sorting(g)) == sorted([(i, i + 1) for i in range(n + 1)] + [(100, 1), (101, 2)])
+    assert sum(written) < 12 * n
+
+
+def test_components_with_hot_vertices(spark, graph, monkeypatch):
+    from graphlake.operators import components, skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    monkeypatch.setattr(components, "HOT_ROWS", 10)
+    monkeypatch.setattr(skew, "MOST_HOT", 20)
+    g = graph([(7, k) for k in range(8, 300)] + [(k, k + 1) for k in range(400, 420)] + [(1, 250), (500, 500)])
+    got = dict(rows(components.weakly_connected_components(g)))
+    assert {v for k, v in got.items() if k < 400} == {1} and {v for k, v in got.items() if 400 <= k < 500} == {400} and got[500] == 500
