@@ -7,4 +7,4 @@ from graphlake.plans import data_queries, feature_queries, graph_queries, ml_que
 FLAGSHIP = "bfs_levels"
 
 QUERIES = {**graph_queries.QUERIES, **feature_queries.QUERIES, **ml_queries.QUERIES, **data_queries.QUERIES}
-ORACLES = {**graph_queries.ORACLES, **feature_queries.ORACLES, **data_queries.ORACLES}
+ORACLES = {**graph_queries.ORACLES, **feature_queries.ORACLES, **ml_queries.ORACLES, **data_queries.ORACLES}

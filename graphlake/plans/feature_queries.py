@@ -155,21 +155,47 @@ def skipgram_pairs(spark, d):
     return sampling.skipgram_pairs(seq, "walk", 2).groupBy("target", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _drawn(g, drawn) -> DataFrame:
+    """How many neighbours each source has drawn, how many different ones, and how many of them are its neighbours."""
+    pairs = g.links().distinct().withColumn("edge", F.lit(1))
+    met = drawn.join(pairs, ["src_id", "dst_id"], "left")
+    return met.groupBy("src_id").agg(F.count(F.lit(1)).alias("n_drawn"), F.max("rank").cast("bigint").alias("last_rank"), F.count("edge").alias("n_edges"))
+
+
+_DRAWN = "SELECT src_id, least(3, count(*)) AS n_drawn, least(3, count(*)) AS last_rank, least(3, count(*)) AS n_edges FROM trade"
+
+
+@query(f"WITH {_TRADE} {_DRAWN} GROUP BY 1")
 def sample_random_neighbours(spark, d):
-    return sampling.random_neighbours(trade(spark, d), 3, seed=7)
+    """Three edges of each vertex, all if there are fewer, none of them made up."""
+    return _drawn(trade(spark, d), sampling.random_neighbours(trade(spark, d), 3, seed=7))
 
 
-@query()
+@query(f"WITH {_TRADE} {_DRAWN} WHERE weight > 0 GROUP BY 1")
 def sample_weighted_neighbours(spark, d):
-    return sampling.random_neighbours(trade(spark, d), 3, seed=7, weight="weight")
+    """The same by weight."""
+    return _drawn(trade(spark, d), sampling.random_neighbours(trade(spark, d), 3, seed=7, weight="weight"))
 
 
-@query()
+@query("SELECT CAST(0 AS BIGINT) AS n_edges, CAST(0 AS BIGINT) AS n_self, true AS two_at_most, true AS most_are_kept")
 def negative_samples(spark, d):
-    return sampling.negative_samples(trade(spark, d), 2, seed=7, by_in_degree=True)
+    """Drawn strangers are never neighbours nor the vertex itself, and of two draws a vertex nearly all are kept."""
+    g = trade(spark, d)
+    drawn = sampling.negative_samples(g, 2, seed=7, by_in_degree=True)
+    met = drawn.join(g.links().select("src_id", F.col("dst_id").alias("neg_id")).distinct().withColumn("edge", F.lit(1)), ["src_id", "neg_id"], "left")
+    each = met.groupBy("src_id").agg(F.count(F.lit(1)).alias("n"), F.count("edge").alias("e"), F.count_if(F.col("src_id") == F.col("neg_id")).alias("s"))
+    sources = g.links().agg(F.countDistinct("src_id").alias("k"))
+    return each.agg(F.sum("e").alias("n_edges"), F.sum("s").alias("n_self"), (F.max("n") <= 2).alias("two_at_most"), F.sum("n").alias("all")).crossJoin(sources).select("n_edges", "n_self", "two_at_most", (F.col("all") > 1.8 * F.col("k")).alias("most_are_kept"))
 
 
-@query()
+@query(f"WITH {_TRADE}, ids AS (SELECT src_id AS start FROM trade UNION SELECT dst_id FROM trade) SELECT start, CAST(0 AS BIGINT) AS off_graph, true AS as_long_as_it_can FROM ids")
 def random_walks(spark, d):
-    return sampling.random_walks(trade(spark, d), length=5, seed=7, weight="weight").select(F.array_join(F.transform("walk", lambda x: x.cast("string")), "-").alias("walk"))
+    """A walk from every vertex: steps that are no edges, and whether it has five steps or ends where no edge leaves."""
+    g = trade(spark, d)
+    walks = sampling.random_walks(g, length=5, seed=7, weight="weight").select("walk", F.element_at("walk", 1).alias("start"))
+    pairs = g.links().distinct().withColumn("edge", F.lit(1))
+    steps = walks.select("start", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("i"), "walk").filter(F.col("i") < F.size("walk")).select("start", F.element_at("walk", F.col("i")).alias("src_id"), F.element_at("walk", F.col("i") + 1).alias("dst_id"))
+    off = steps.join(pairs, ["src_id", "dst_id"], "left").groupBy("start").agg(F.count_if(F.col("edge").isNull()).alias("off"))
+    leaving = g.edges.filter("weight > 0").select(F.col("src_id").alias("tail")).distinct().withColumn("leaves", F.lit(True))
+    whole = walks.select("start", F.size("walk").alias("n"), F.element_at("walk", -1).alias("tail")).join(leaving, "tail", "left")
+    return whole.join(off, "start", "left").select("start", F.coalesce("off", F.lit(0)).alias("off_graph"), ((F.col("n") == 6) | F.col("leaves").isNull()).alias("as_long_as_it_can"))
