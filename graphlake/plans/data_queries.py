@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphlake.functions.ids import numeric_id
 from graphlake.operators.hierarchy import descendants, hierarchy, other_parents
 from graphlake.operators.orphans import Hierarchy, orphan_cascade, orphan_report
-from graphlake.operators.skew import KeyColumn, heavy_keys, key_stats
+from graphlake.operators.skew import KeyColumn, heavy_keys, key_stats, key_totals
 from graphlake.storage import read_table
 
 PARENT_TO_CHILD = 3
@@ -66,23 +66,24 @@ def p4_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(_tree(spark, sf_dir))
 
 
-def _key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _key_columns(spark: SparkSession, sf_dir: str) -> list[KeyColumn]:
     edges, g_ie = read_table(spark, sf_dir, "edges"), read_table(spark, sf_dir, "g_ie")
-    return key_stats([
+    return [
         KeyColumn("edges", "src_id", edges, F.col("src_id"), F.col("dst_id")),
         KeyColumn("edges", "dst_id", edges, F.col("dst_id"), F.col("src_id")),
         KeyColumn("g_ie", "owner_vertex", g_ie, numeric_id(F.col("owner_vertex")), numeric_id(F.col("other_vertex"))),
-    ])
+    ]
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vertices that own at least a hundredth of the rows of a table."""
-    return heavy_keys(_key_stats(spark, sf_dir)).select("table_name", "column_name", "vid")
+    columns = _key_columns(spark, sf_dir)
+    return heavy_keys(key_stats(columns), totals=key_totals(columns)).select("table_name", "column_name", "vid")
 
 
 def p5_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and different neighbours of every vertex in every key column."""
-    return _key_stats(spark, sf_dir).filter(F.col("vid").isNotNull())
+    return key_stats(_key_columns(spark, sf_dir)).filter(F.col("vid").isNotNull())
 
 
 QUERIES = {q.__name__: q for q in (p3_found, p3_report, p4_found, p4_descendants, p4_root_members, p4_other_parents, p4_all_descendants, p5_found, p5_key_stats)}
