@@ -672,11 +672,13 @@ def cut_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS
     to the others, by page id and hash of the text; a page that comes twice
     is kept twice.
     """
-    pages = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(lines).alias("lines")] if lines else []))
-    spans = leak_spans(pages, items, min_words, lines="lines" if lines else None, item_id=item_id, item_text=item_text)
+    # pages of one id may have different texts
+    page = F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
+    pages = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), page.alias("page"), *([F.col(lines).alias("lines")] if lines else []))
+    spans = leak_spans(pages, items, min_words, doc_id="page", lines="lines" if lines else None, item_id=item_id, item_text=item_text)
     piece = F.struct("start", "end", "leaked_words", "page_words")
     found = spans.groupBy(F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_set(piece)).alias("pieces"))
-    joined = pages.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    joined = pages.select("doc_id", "text", "page").join(found, F.col("page") == F.col("d"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
