@@ -107,3 +107,27 @@ def test_more_prose_than_the_bound_is_sampled(spark, monkeypatch):
     d = spark.createDataFrame([(1, keywords(), None), (2, prose(), None)], "doc_id bigint, text string, lines array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>")
     p = spark.createDataFrame([(t, "en") for t in PROSE], "text string, lang string")
     assert rows(spam_pages(d, p, prose_lang="lang")) == [(1,)]
+
+
+def test_all_prose_counts_beyond_what_the_driver_reads(spark, monkeypatch):
+    """Prose beyond the bound gives the model of the whole prose, to the last bit."""
+    from graphlake.llm import spam
+
+    texts = [*PROSE, *(prose().replace("the", "der").replace("The", "Der") for _ in range(20)), PROSE[0], "", "Of 3 it", "||| ---", prose(1)]
+    langs = ["en"] * 60 + ["de"] * 20 + ["en", None, "fr", "fr", None]
+    pages = [(i, t, None) for i, t in enumerate([*kinds_of_spam(), *(prose() for _ in range(10)), PROSE[3] + keywords(70), "", "Of a it na"])]
+    d = spark.createDataFrame(pages, "doc_id bigint, text string, lines array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>")
+    p = spark.createDataFrame([*zip(texts, langs, strict=True), (None, "en")], "text string, lang string").repartition(3)
+    whole = ProseModel(texts, [lang or "" for lang in langs])
+    wanted = [(i, *spam_share(whole, t.split())) for i, t, _ in pages]
+    assert rows(spam_scores(d, p, prose_lang="lang")) == wanted
+    monkeypatch.setattr(spam, "MAX_PROSE_WORDS", 500)
+    assert rows(spam_scores(d, p, prose_lang="lang")) == wanted
+    clean = p.selectExpr("text AS t", "coalesce(lang, '') AS l").filter("t IS NOT NULL")
+    for most in (0, 100, spam.MAX_MEANS):  # thresholds found in several steps or at once
+        monkeypatch.setattr(spam, "MAX_MEANS", most)
+        got = spam._model_of(clean)
+        for a in ("word", "short", "follow", "after", "kinds", "opening", "low", "high"):
+            assert getattr(got, a) == getattr(whole, a), a
+    nothing = spam._model_of(clean.filter("t = ''"))
+    assert (nothing.low, nothing.high) == (-float("inf"), float("inf"))
