@@ -94,7 +94,9 @@ def _linked_nearer(g: PropertyGraph, vectors: DataFrame) -> DataFrame:
     strangers = links.select("a", F.lead("b").over(order).alias("b")).filter("a <> b")
     pairs = links.withColumn("linked", F.lit(1)).unionAll(strangers.withColumn("linked", F.lit(0)))
     met = pairs.join(unit.select(F.col("id").alias("a"), F.col("e").alias("x")), "a").join(unit.select(F.col("id").alias("b"), F.col("e").alias("y")), "b")
-    dot = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, z: a + z)
+    dim = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    # written out, because lambdas are not compiled
+    dot = sum((F.get("x", F.lit(i)) * F.get("y", F.lit(i)) for i in range(dim)), F.lit(0.0))
     near = met.agg(F.avg(F.when(F.col("linked") == 1, dot)).alias("l"), F.avg(F.when(F.col("linked") == 0, dot)).alias("s"))
     return v.agg(F.count(F.lit(1)).alias("n_vertices"), F.max(F.size("embedding")).alias("dim")).crossJoin(near).select("n_vertices", "dim", (F.col("l") > F.col("s")).alias("linked_nearer"))
 
